@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, quality_rules
+from . import chat_format, language_id, mixing, quality_classifier, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1,
+        "op3_language_id": language_id.op3,
+        "op4_quality_classifier": quality_classifier.op4,
         "op7_chat_format": chat_format.op7,
         "op8_quality_rules": quality_rules.op8,
     }
