@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, mixing, quality_classifier, quality_rules
+from . import chat_format, language_id, minhash_dedup, mixing, quality_classifier, quality_rules
 
 
 def queries() -> dict:
@@ -10,10 +10,11 @@ def queries() -> dict:
         "op1_mixing": mixing.op1,
         "op3_language_id": language_id.op3,
         "op4_quality_classifier": quality_classifier.op4,
+        "op6_minhash_dedup": minhash_dedup.op6,
         "op7_chat_format": chat_format.op7,
         "op8_quality_rules": quality_rules.op8,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": chat_format.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
+    return {"op6_minhash_dedup": minhash_dedup.ORACLE, "op7_chat_format": chat_format.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
