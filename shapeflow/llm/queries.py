@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, minhash_dedup, mixing, quality_classifier, quality_rules
+from . import chat_format, language_id, lm_scoring, minhash_dedup, mixing, quality_classifier, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1,
+        "op2_lm_scoring": lm_scoring.op2,
         "op3_language_id": language_id.op3,
         "op4_quality_classifier": quality_classifier.op4,
         "op6_minhash_dedup": minhash_dedup.op6,
