@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, lm_scoring, minhash_dedup, mixing, quality_classifier, quality_rules
+from . import chat_format, decontamination, language_id, lm_scoring, minhash_dedup, mixing, quality_classifier, quality_rules
 
 
 def queries() -> dict:
@@ -13,9 +13,10 @@ def queries() -> dict:
         "op4_quality_classifier": quality_classifier.op4,
         "op6_minhash_dedup": minhash_dedup.op6,
         "op7_chat_format": chat_format.op7,
+        "op9_decontamination": decontamination.op9,
         "op8_quality_rules": quality_rules.op8,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_dedup": minhash_dedup.ORACLE, "op7_chat_format": chat_format.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
+    return {"op9_decontamination": decontamination.ORACLE, "op6_minhash_dedup": minhash_dedup.ORACLE, "op7_chat_format": chat_format.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
