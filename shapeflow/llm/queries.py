@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, language_id, lm_scoring, minhash_dedup, mixing, quality_classifier, quality_rules
+from . import chat_format, decontamination, language_id, lm_scoring, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_quality_classifier": quality_classifier.op4,
         "op6_minhash_dedup": minhash_dedup.op6,
         "op7_chat_format": chat_format.op7,
+        "op10_substring_dedup": substring_dedup.op10,
         "op9_decontamination": decontamination.op9,
         "op8_quality_rules": quality_rules.op8,
     }

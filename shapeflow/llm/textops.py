@@ -53,7 +53,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0] if len(offs) else np.zeros(1, np.int64)
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20):
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 19):
     """Runs of rows with at most ``limit`` bytes of text (one row at least): the memory of what follows is bounded by it or by the longest text."""
     _, offs = text_bytes(batch.column(text))
     i, n = 0, batch.num_rows
@@ -96,6 +96,15 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[
     return span_hashes(prefix(data, FOLDED if fold else BYTE), s, e), row, s, e
 
 
+def run_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` consecutive values."""
+    if len(h) < width:
+        return np.zeros(0, np.uint64)
+    p, back = _powers(len(h) + 1)
+    pre = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p[: len(h)], dtype=np.uint64)])
+    return mix64((pre[width:] - pre[:-width]) * back[: len(h) - width + 1])
+
+
 def row_bounds(row: np.ndarray, n: int) -> np.ndarray:
     """n + 1 offsets of the rows in a sorted row index."""
     return np.searchsorted(row, np.arange(n + 1))
