@@ -66,23 +66,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, c, n = (np.concatenate([x[i] for x in held]) for i in range(3))
         u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        return u, c[first], np.bincount(inv, n, len(u)).astype(np.int64)
+        return u, c[first], np.bincount(inv, n, len(u)).astype(np.int32)
 
     def rows():
         h, c, n = held[0]
         for i in range(0, len(h), 100_000):
-            yield pa.record_batch([pa.array(h[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000].astype(np.int32)), pa.array(n[i : i + 100_000])], ["h", "cls", "c"])
+            yield pa.record_batch([pa.array(h[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000].astype(np.int32)), pa.array(n[i : i + 100_000].astype(np.int64))], ["h", "cls", "c"])
 
     for batch in batches:
         for b in T.slices(batch, "text"):
             h, cls, _ = _tokens(b)
             u, first, n = np.unique(h, return_index=True, return_counts=True)
-            held.append((u, cls[first], n))
+            held.append((u, cls[first].astype(np.int8), n.astype(np.int32)))
             size += len(u)
-            if size > 1_500_000:
+            if size > 600_000:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 1_000_000:
+                if size > 400_000:
                     yield from rows()
                     held, size = [], 0
     if held:
@@ -90,11 +90,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows()
 
 
+def open_table(keys: np.ndarray) -> np.ndarray:
+    """An open-addressing table of the places of distinct keys: slot -> place, -1 where free; at most a quarter full."""
+    size = 1 << max(4, (4 * len(keys)).bit_length())
+    table, left, step = np.full(size, -1, np.int32), np.arange(len(keys), dtype=np.int32), 0
+    while len(left):
+        slot = ((keys[left] + np.uint64(step)) & np.uint64(size - 1)).view(np.int64)
+        free = table[slot] < 0
+        table[slot[free]] = left[free]
+        left, step = left[table[slot] != left], step + 1
+    return table
+
+
+def find(table: np.ndarray, keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of ``h`` among the keys, -1 where absent."""
+    out, left, step = np.full(len(h), -1, np.int64), np.arange(len(h)), 0
+    while len(left) and len(keys):
+        at = table[((h[left] + np.uint64(step)) & np.uint64(len(table) - 1)).view(np.int64)]
+        there = keys[at] == h[left]
+        there &= at >= 0
+        out[left[there]] = at[there]
+        left, step = left[(at >= 0) & ~there], step + 1
+    return out
+
+
 @dataclass
 class Model:
     total: int
     distinct: int
-    known: np.ndarray  # sorted hashes
+    known: np.ndarray  # hashes
     known_count: np.ndarray
     known_id: np.ndarray  # id of the model's words, -1 for others
     tail_total: np.ndarray  # by suffix class: tokens and distinct tokens that are not the model's words
@@ -104,13 +128,13 @@ class Model:
     w1: np.ndarray = field(default_factory=lambda: np.zeros((FEATURE_ROWS, _OUT), np.float32))
     w2: np.ndarray = field(default_factory=lambda: np.zeros((FEATURE_ROWS, WIDTH), np.float32))
 
+    def __post_init__(self):
+        self.slots = open_table(self.known)
+
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count (-1: not among the known) and word id (-1: none) of hashes."""
-        if not len(self.known):
-            return np.full(len(h), -1, np.int64), np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        there = self.known[at] == h
-        return np.where(there, self.known_count[at], -1), np.where(there, self.known_id[at], -1)
+        at = find(self.slots, self.known, h)
+        return np.append(self.known_count, -1)[at], np.append(self.known_id, -1)[at]
 
     def events(self, ids: np.ndarray, cls: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class, word within it (-1: told apart by count) and the three context features of every token."""
@@ -151,7 +175,16 @@ def count_tokens(train: DataFrame) -> DataFrame:
 def start(counts: DataFrame) -> Model:
     """The untrained model: the counts' own distribution. To the driver come KNOWN rows and a few sums."""
     own = CLASSES * WIDTH
-    top = counts.orderBy(F.col("c").desc(), "h").limit(KNOWN).toArrow()
+    # the least count of the known, from a small histogram: no task sees more rows than its own
+    step = F.floor(F.log2("c") * 64)
+    least, seen = None, 0
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["s"]):
+        seen += r["n"]
+        if seen > KNOWN and least is not None:
+            break
+        least = r["s"]
+    few = counts.where(step >= F.lit(least)) if seen <= KNOWN or least is None or counts.where(step >= F.lit(least)).count() <= KNOWN else counts.orderBy(F.col("c").desc(), "h").limit(KNOWN)
+    top = few.toArrow().sort_by([("c", "descending"), ("h", "ascending")]).slice(0, KNOWN)
     h, cls, c = top.column("h").to_numpy().view(np.uint64), top.column("cls").to_numpy(), top.column("c").to_numpy()
     by = {r["cls"]: r for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     n = np.array([by[k]["n"] if k in by else 0 for k in range(CLASSES)], np.float64)
@@ -160,8 +193,7 @@ def start(counts: DataFrame) -> Model:
     tail_n, tail_v = n - np.bincount(cls[:own], c[:own], CLASSES), v - np.bincount(cls[:own], minlength=CLASSES)
     ids = np.where(np.arange(len(h)) < own, np.arange(len(h)), -1)
     spread = np.where(ids >= 0, ids % CLASSES * WIDTH + ids // CLASSES, -1)  # each class gets words of all frequencies
-    order = np.argsort(h)
-    m = Model(total, distinct, h[order], c[order], spread[order], tail_n, tail_v)
+    m = Model(total, distinct, h, c, spread, tail_n, tail_v)
     words = np.full(CLASSES * WIDTH, 0.1)
     words[spread[:own][spread[:own] >= 0]] = c[:own]
     words = words.reshape(CLASSES, WIDTH)
