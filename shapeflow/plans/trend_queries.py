@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shapeflow.operators import trend
 from shapeflow.plans import sqltext as Q
+from shapeflow.plans import trend_pipeline
 from shapeflow.sources import series as src
 
 QUERIES: dict = {}
@@ -119,3 +120,11 @@ query(
 g as (select which, count(*) as n, list(peak order by peak) as peak, list(left_ order by left_) as lf from w group by 1)
 select which, n, {', '.join(f"round({_mq('peak' if c.startswith('peak') else 'lf', int(c[-2:]) / 100)}, 6) + 0.0 as {c}" for c in _NAMES)} from g""",
 )(lambda s, d: trend.decision_report(_decisions(s, d), _own(s, d), _truth(s, d)).select("which", "n", *[_r(c, c) for c in _NAMES]))
+
+
+def _whole(s, d):
+    return trend_pipeline.run(src.user_day(s, d), k=2, folds=2, gamma_max=G, max_iter=5)
+
+
+query("trend_pipeline")(lambda s, d: _whole(s, d).decisions)
+query("trend_pipeline_report")(lambda s, d: _whole(s, d).report)
