@@ -39,7 +39,7 @@ from .windows import window_minima
 
 LENGTH, GRAM = 50, 20
 #: Bytes of input for each bucket of steps 2 and 3.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 3 << 20
 
 
 # ---- suffix sorting -------------------------------------------------------------------------
@@ -47,6 +47,14 @@ BUCKET_BYTES = 6 << 20
 
 def _names(*symbols: np.ndarray) -> np.ndarray:
     """Dense ranks of tuples of non-negative integers."""
+    widths = [max(int(s.max(initial=0)).bit_length(), 1) for s in symbols]
+    if sum(widths) <= 22:  # few enough values for a table instead of a sort
+        key = symbols[0].astype(np.int64)
+        for s, w in zip(symbols[1:], widths[1:], strict=True):
+            key = (key << w) | s.astype(np.int64)
+        there = np.zeros(1 << sum(widths), bool)
+        there[key] = True
+        return (np.cumsum(there) - 1)[key]
     key = symbols[0].astype(np.uint64)
     for s in symbols[1:]:
         width = np.uint64(max(int(s.max(initial=0)).bit_length(), 1))
@@ -107,7 +115,9 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
 
 def equal_groups(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """``starts`` in suffix order, and where each group of equal ``length``-byte strings begins in it. ``text``: bytes, ``length`` of them after every start."""
-    order = suffix_order(text.astype(np.int64) + 1, length)
+    alphabet = np.zeros(256, bool)
+    alphabet[text] = True
+    order = suffix_order(np.cumsum(alphabet)[text], length)
     wanted = np.zeros(len(text), bool)
     wanted[starts] = True
     sa = order[wanted[order]]
@@ -232,8 +242,8 @@ def _stretches(n_buckets: int):
                 bucket = np.where(later, -1, ((h >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64))
                 whose = pa.array(r)
                 yield pa.record_batch(
-                    [pa.array(bucket), b.column("doc_id").take(whose), b.column("mark").take(whose), pa.array(first), pa.array(last - first + 1), _cut_out(data, lo, np.where(later, lo, hi))],
-                    ["bucket", "doc_id", "mark", "at", "starts", "piece"],
+                    [pa.array(bucket), pa.array(h.view(np.int64)), b.column("doc_id").take(whose), b.column("mark").take(whose), pa.array(first), pa.array(last - first + 1), _cut_out(data, lo, np.where(later, lo, hi))],
+                    ["bucket", "h", "doc_id", "mark", "at", "starts", "piece"],
                 )
 
     return run
@@ -255,16 +265,23 @@ def _duplicates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind[order] = np.cumsum(lead) - 1
         rows = order[lead]
         least, n = ids[rows], starts[rows]
-        size = (offs[1:] - offs[:-1])[rows]
-        text = np.empty(int(size.sum()), np.uint8)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        text[:] = data[np.repeat(offs[rows], size) + np.arange(len(text)) - np.repeat(begin[:-1], size)]
-        s = np.repeat(begin[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        sa, cut = equal_groups(text, s, LENGTH)
-        of = np.searchsorted(begin, sa, "right") - 1
-        small = np.repeat(np.minimum.reduceat(least[of], cut), np.diff(np.append(cut, len(sa)))) if len(sa) else least[:0]
-        lowest = np.zeros(len(text), np.int64)
-        lowest[sa] = small
+        begin = np.concatenate([[0], np.cumsum(n)])
+        lowest = np.repeat(least, n)  # by start of a distinct stretch
+        # strings of stretches of different anchors differ, and so do those of one stretch: only anchors with several stretches are sorted
+        _, of_anchor, variants = np.unique(t.column("h").to_numpy()[rows], return_inverse=True, return_counts=True)
+        some = np.flatnonzero(variants[of_anchor] > 1)
+        if len(some):
+            size = (offs[1:] - offs[:-1])[rows[some]]
+            into = np.concatenate([[0], np.cumsum(size)])
+            text = data[np.repeat(offs[rows[some]] - into[:-1], size) + np.arange(into[-1])]
+            k = n[some]
+            off = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            s, where = np.repeat(into[:-1], k) + off, np.repeat(begin[some], k) + off
+            place = np.zeros(len(text), np.int64)
+            place[s] = where
+            sa, cut = equal_groups(text, s, LENGTH)
+            own = place[sa]
+            lowest[own] = np.repeat(np.minimum.reduceat(lowest[own], cut), np.diff(np.append(cut, len(sa))))
         # every row, against the least id of each of its strings
         total = starts.sum()
         row = np.repeat(np.arange(len(ids)), starts)
@@ -293,7 +310,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = entries.withColumn("bucket", spread).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "doc_id long, h long")
     hashes = save(shared.groupBy("doc_id").agg(F.collect_set("h").alias("hashes")), "anchors")
     some = own.join(bounded(hashes.select("doc_id")), "doc_id")
-    pieces = some.join(hashes, "doc_id").select("doc_id", "mark", "text", "hashes").mapInArrow(_stretches(n_buckets), "bucket long, doc_id long, mark long, at long, starts long, piece binary")
+    pieces = some.join(hashes, "doc_id").select("doc_id", "mark", "text", "hashes").mapInArrow(_stretches(n_buckets), "bucket long, h long, doc_id long, mark long, at long, starts long, piece binary")
     spread = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets))).otherwise(F.col("bucket"))
     runs = pieces.withColumn("bucket", spread).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_duplicates, "doc_id long, mark long, start long, n long")
     runs = save(runs.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("runs")), "runs")
