@@ -53,9 +53,9 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0] if len(offs) else np.zeros(1, np.int64)
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 19):
-    """Runs of rows with at most ``limit`` bytes of text (one row at least): the memory of what follows is bounded by it or by the longest text."""
-    _, offs = text_bytes(batch.column(text))
+def slices(batch: pa.RecordBatch, *texts: str, limit: int = 1 << 19):
+    """Runs of rows with at most ``limit`` bytes of text in the columns ``texts`` together (one row at least): the memory of what follows is bounded by it or by the longest row."""
+    offs = sum(text_bytes(batch.column(t))[1] for t in texts)
     i, n = 0, batch.num_rows
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
