@@ -203,17 +203,17 @@ def start(counts: DataFrame) -> Model:
     return m
 
 
-def _step(w: np.ndarray, acc: np.ndarray, used: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
-    """Adagrad on the rows that a batch used."""
+def _step(w: np.ndarray, acc: np.ndarray, used: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float, calm: float) -> None:
+    """Adagrad on the rows that a batch used; ``calm`` damps a row's first steps."""
     order = np.argsort(rows, kind="stable")
     u, first, n = np.unique(rows[order], return_index=True, return_counts=True)
     s = np.add.reduceat(g[order], first, 0)
     acc[u] += (s * s).mean(1)
     used[u] += n
-    w[u] -= rate * s / np.sqrt(acc[u] + 1e-6)[:, None]
+    w[u] -= rate * s / np.sqrt(acc[u] + calm)[:, None]
 
 
-def _descend(shared, turn: int, rate: float, batch_size: int = 2048):
+def _descend(shared, turn: int, rate: float, calm: float, batch_size: int = 2048):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         w = [m.w1.copy(), m.w2.copy()]
@@ -231,7 +231,7 @@ def _descend(shared, turn: int, rate: float, batch_size: int = 2048):
                     p /= p.sum(1, keepdims=True)
                     p[np.arange(len(a)), y[a]] -= 1
                     for k in range(3):
-                        _step(w[0], acc[0], used[0], f[k, a], p, rate)
+                        _step(w[0], acc[0], used[0], f[k, a], p, rate, calm)
                     a = a[word[a] >= 0]
                     if len(a):
                         z = own.logits(f[:, a], y[a])
@@ -240,7 +240,7 @@ def _descend(shared, turn: int, rate: float, batch_size: int = 2048):
                         p[np.arange(len(a)), word[a]] -= 1
                         g = inner(f[:, a], y[a])
                         for k in range(3):
-                            _step(w[1], acc[1], used[1], g[k], p, rate)
+                            _step(w[1], acc[1], used[1], g[k], p, rate, calm)
         for table, (x, n) in enumerate(zip(w, used, strict=True)):
             r = np.flatnonzero(n)
             for i in range(0, len(r), 2000):
@@ -276,12 +276,12 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS, rate: float = 0.15) -> Model:
+def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS, rate: float = 0.15, calm: float = 0.5) -> Model:
     """Counts, then ``rounds`` of distributed gradient updates over all training texts."""
     sc, m = train.sparkSession.sparkContext, start(counts)
     for turn in range(rounds if m.total else 0):
         shared = sc.broadcast(m)
-        parts = train.select("text").mapInArrow(_descend(shared, turn * 3, rate), "table int, r long, n double, w binary")
+        parts = train.select("text").mapInArrow(_descend(shared, turn * 3, rate, calm), "table int, r long, n double, w binary")
         mean = parts.repartition("table", "r").sortWithinPartitions("table", "r", "n", "w").mapInArrow(_average, "table int, r long, w binary").toArrow()
         t, r = mean.column("table").to_numpy(), mean.column("r").to_numpy()
         m = Model(m.total, m.distinct, m.known, m.known_count, m.known_id, m.tail_total, m.tail_distinct, m.class_bias, m.word_bias, m.w1.copy(), m.w2.copy())
