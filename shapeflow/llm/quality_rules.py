@@ -65,10 +65,10 @@ def rules() -> dict[str, Column]:
     return {
         "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")),
         "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
-        "repeated_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        "repeated_lines": 10 * F.col("n_dup_lines") > 5 * F.col("n_lines"),
         "shouting": 2 * count("\\p{Lu}") > count("\\p{L}"),
         "exclaiming": 5 * count("!?") > F.col("n_words"),
-        "few_letters": 10 * count("\\p{L}") < 6 * F.col("word_chars"),
+        "few_letters": 10 * count("\\p{L}") < 4 * F.col("word_chars"),
         "bullets": 10 * F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike("^[ \\t]*[-*•>]"))) > 9 * F.col("n_lines"),
         "cut_lines": 10 * F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike("(\\.\\.\\.|…)[ \\t\\r]*$"))) > 3 * F.col("n_lines"),
     }
@@ -126,10 +126,10 @@ with d as (
   from d left join c using (doc_id)
 ), v as (
   select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
-    word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * n_symbols > n_words or 10 * n_dup_lines > 3 * n_lines
+    word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * n_symbols > n_words or 10 * n_dup_lines > 5 * n_lines
     or 2 * length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) > length(regexp_replace(text, '[^\p{L}]+', '', 'g'))
     or 5 * length(regexp_replace(text, '[^!?]+', '', 'g')) > n_words
-    or 10 * length(regexp_replace(text, '[^\p{L}]+', '', 'g')) < 6 * word_chars
+    or 10 * length(regexp_replace(text, '[^\p{L}]+', '', 'g')) < 4 * word_chars
     or 10 * len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-*•>]'))) > 9 * n_lines
     or 10 * len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) > 3 * n_lines as hit
   from m
