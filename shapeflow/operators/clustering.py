@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shapeflow.functions import series as S
-from shapeflow.functions.kernels import rolling, top_eigenvectors
+from shapeflow.functions.kernels import dropping, rolling, top_eigenvectors
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -185,3 +185,23 @@ def pair_distances(series: DataFrame, block: int = 256) -> DataFrame:
                     yield pa.record_batch([pa.array(np.repeat(a, len(b))), pa.array(np.tile(b, len(a))), pa.array(dist.ravel()), pa.array(shift.ravel().astype(np.int32))], ["id1", "id2", "dist", "shift"])
 
     return both.select("b", "b2", "s", "s2").mapInArrow(run, "id1 long, id2 long, dist double, shift int")
+
+
+def drop_distances(queries: DataFrame, series: DataFrame, block: int = 256) -> DataFrame:
+    """Zero-fill distances of a query set to all series (which are shifted): id1, id2, dist; block against block."""
+
+    def packed(d: DataFrame, b: str, s: str) -> DataFrame:
+        n = max(1, -(-d.count() // block))
+        return d.groupBy(F.pmod(F.xxhash64("series_id"), F.lit(n)).alias(b)).agg(F.collect_list(F.struct("series_id", "x")).alias(s))
+
+    both = packed(queries, "b", "s").join(packed(series, "b2", "s2"), F.lit(True)).repartition(64, "b", "b2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                s, s2 = batch.column("s")[r].values, batch.column("s2")[r].values
+                i, j = s.field("series_id").to_numpy(), s2.field("series_id").to_numpy()
+                d = dropping(_matrix(s.field("x")), _matrix(s2.field("x")))
+                yield pa.record_batch([pa.array(np.repeat(i, len(j))), pa.array(np.tile(j, len(i))), pa.array(d.ravel())], ["id1", "id2", "dist"])
+
+    return both.select("s", "s2").mapInArrow(run, "id1 long, id2 long, dist double")

@@ -112,7 +112,10 @@ query("dist_roll_struct", f"{_PAIRS} select id1, id2, round({Q.roll_dist('a', 'b
 _DROP_GAIN = """list_max(list_transform(range(-23, 24), lambda q: case when q >= 0 then coalesce(pow(list_dot_product(list_slice(a, q + 1, 24), list_slice(b, 1, 24 - q)), 2) / nullif(list_dot_product(list_slice(b, 1, 24 - q), list_slice(b, 1, 24 - q)), 0), 0)
  else coalesce(pow(list_dot_product(list_slice(a, 1, 24 + q), list_slice(b, 1 - q, 24)), 2) / nullif(list_dot_product(list_slice(b, 1 - q, 24), list_slice(b, 1 - q, 24)), 0), 0) end))"""
 query("dist_drop_pairs", f"{_PAIRS} select id1, id2, round(sqrt(greatest(0.0, 1 - {_DROP_GAIN} / list_dot_product(a, a))), 6) + 0.0 as dist from p")(
-    lambda s, d: _some_pairs(s, d).select("id1", "id2", _r(S.drop_dist("a", "b"), "dist"))
+    lambda s, d: clustering.drop_distances((u := src.user_hour(s, d)).where("series_id % 10 = 0"), u).select("id1", "id2", _r("dist", "dist"))
+)
+query("dist_drop_expression", f"{_PAIRS} select id1, id2, round(sqrt(greatest(0.0, 1 - {_DROP_GAIN} / list_dot_product(a, a))), 6) + 0.0 as dist from p where id1 = 10")(
+    lambda s, d: _some_pairs(s, d).where("id1 = 10").select("id1", "id2", _r(S.drop_dist("a", "b"), "dist"))
 )
 
 

@@ -98,3 +98,16 @@ def test_distance_properties(spark, pairs, q, scale):
     assert d == pytest.approx(kernels.rolling(b, a)[0][0, 0] if a.any() and b.any() else d, abs=1e-7)
     assert d == pytest.approx(kernels.rolling(a, np.roll(b, q) * scale)[0][0, 0], abs=1e-6)
     assert value(spark, S.roll_dist("a", "b") + ".dist", a=a[0].tolist(), b=b[0].tolist()) == pytest.approx(d, abs=1e-7)
+
+
+def test_drop_kernel(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 4, (4, 5)).astype(float), rng.integers(0, 4, (6, 5)).astype(float)
+    a[0] = b[0] = 0
+    got = kernels.dropping(a, b)
+    rows = [(i, j, a[i].tolist(), b[j].tolist()) for i in range(4) for j in range(6)]
+    d = spark.createDataFrame(rows, "i int, j int, a array<double>, b array<double>").select("i", "j", S.col(S.drop_dist("a", "b")).alias("d"))
+    for r in d.collect():
+        assert got[r["i"], r["j"]] == pytest.approx(r["d"], abs=1e-9)
