@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
@@ -20,7 +22,7 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def learner(name: str, label: str = "label", seed: int = 0):
-    """An unfitted estimator on (features, label). Trees are forests without bootstrap; RBF machines are not offered."""
+    """An unfitted estimator on (features, label). Trees are forests without bootstrap; RBF machines are linear ones on :func:`fourier_features`."""
     forest = dict(labelCol=label, bootstrap=False, featureSubsetStrategy="sqrt", seed=seed)
     made = {
         "lr": lambda: LogisticRegression(labelCol=label, standardization=False, maxIter=50),
@@ -37,6 +39,15 @@ def learner(name: str, label: str = "label", seed: int = 0):
     return made[name]()
 
 
+def fourier_features(df: DataFrame, x: str, dims: int, gamma: float = 1.0, n: int = 64, seed: int = 0) -> DataFrame:
+    """Adds features: random Fourier features of the array ``x``, whose inner products approximate exp(-gamma * |x - y|^2)."""
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(0, np.sqrt(2 * gamma), (n, dims)), rng.uniform(0, 2 * np.pi, n)
+    rows = ",".join("array(" + ",".join(f"{v!r}D" for v in map(float, (*r, c))) + ")" for r, c in zip(w, b, strict=True))
+    wave = f"transform(array({rows}), r -> {float(np.sqrt(2 / n))!r}D * cos(aggregate(zip_with({x}, slice(r, 1, {dims}), (p, q) -> p * q), 0D, (s, v) -> s + v) + r[{dims}]))"
+    return df.withColumn("features", array_to_vector(F.expr(wave)))
+
+
 def grid_search(df: DataFrame, name: str = "lr", label: str = "label", folds: int = 3, values: list[float] | None = None, seed: int = 0):
     """Cross-validated over the penalties, refitted on all rows: the fitted model and (value, metric) pairs."""
     est, n = learner(name, label, seed), df.count()

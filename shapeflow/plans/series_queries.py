@@ -169,6 +169,13 @@ def cluster_sizes(spark, d):
     return a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), _r("avg(dist * dist)", "cost"))
 
 
+@query("cluster_ranking", f"with recursive {_INIT}, {_nearest('n', 'c0', 'a')} select series_id, cluster, (row_number() over (partition by series_id order by d, cluster) - 1)::int as rank from n_d")
+def cluster_ranking(spark, d):
+    a = clustering.assign(src.user_hour(spark, d), clustering.centroids(_start(spark, d), K))
+    ranked = F.expr("sort_array(transform(dists, (v, i) -> named_struct('d', round(v, 9), 'i', i)))")
+    return a.select("series_id", F.posexplode(ranked).alias("rank", "r")).select("series_id", F.col("r.i").alias("cluster"), "rank")
+
+
 _ROLLED = f"s1 as (select series_id, {Q.roll('x', 'shift')} as x, cluster from a)"
 
 

@@ -279,6 +279,14 @@ def grid_search_lr(s, d):
 
 query("cross_val_trees")(lambda s, d: learners.cross_val(_vectors(s, d).select("series_id", "features", "label", "fold"), "extra_trees").select("series_id", "fold", "prediction"))
 query("tree_importances")(lambda s, d: learners.importances(_vectors(s, d).drop("features"), [f"x{i}" for i in range(16)]))
+
+
+def _waves(s, d):
+    return learners.fourier_features(_labelled(s, d).withColumn("x", F.slice("x", 1, 16)), "x", 16, gamma=0.5)
+
+
+query("rbf_svm")(lambda s, d: learners.learner("linear_svm").fit(w := _waves(s, d)).transform(w).select("series_id", "label", F.col("prediction").cast("int").alias("p")))
+query("rbf_svr")(lambda s, d: learners.learner("huber_regression").fit(w := _waves(s, d)).transform(w).select("series_id", "label", "prediction"))
 query("class_boost")(lambda s, d: ensemble.ClassBoost().fit(v := _vectors(s, d), 3).predict(v).select("series_id", "label", "p"))
 query("cotrain")(lambda s, d: ensemble.CoTrain(rounds=2).fit(v := _vectors(s, d), 3).predict(v).select("series_id", "label", "p"))
 for _kind in ("linear", "tree", "deco"):

@@ -121,3 +121,10 @@ def test_tables(spark):
 @pytest.mark.parametrize("word,want", [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("plastered", "plaster"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("conditional", "condit"), ("triplicate", "triplic"), ("adjustment", "adjust"), ("adoption", "adopt"), ("controll", "control"), ("rate", "rate"), ("sky", "sky")])
 def test_stems(word, want):
     assert stemmer.stem(word) == want
+
+
+def test_fourier_features(spark):
+    x = np.array([[0.0, 0.1], [0.3, -0.2], [1.0, 1.0]])
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, x array<double>")
+    f = np.array([r["features"].toArray() for r in learners.fourier_features(d, "x", 2, gamma=0.5, n=600).orderBy("i").collect()])
+    assert np.abs(f @ f.T - np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(2))).max() < 0.15
