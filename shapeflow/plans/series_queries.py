@@ -185,19 +185,19 @@ def cluster_iter_fixed(spark, d):
     return r.assigned.select("series_id", "cluster", (F.round("dist", 5) + F.lit(0.0)).alias("dist"))
 
 
-@query("ksc_converged")
-def ksc_converged(spark, d):
+@query("cluster_converged")
+def cluster_converged(spark, d):
     r = clustering.cluster(src.user_hour(spark, d), K)
     return r.assigned.select("series_id", "cluster", "shift", "dist")
 
 
-@query("ksc_restarts")
-def ksc_restarts(spark, d):
+@query("cluster_restarts")
+def cluster_restarts(spark, d):
     return clustering.restarts(src.user_hour(spark, d), K, runs=3).assigned.select("series_id", "cluster", "dist")
 
 
-@query("ksc_multires")
-def ksc_multires(spark, d):
+@query("cluster_multires")
+def cluster_multires(spark, d):
     return clustering.multiresolution(src.supplier_month(spark, d), K).assigned.select("series_id", "cluster", "dist")
 
 
