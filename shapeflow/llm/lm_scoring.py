@@ -34,7 +34,7 @@ from . import textops as T
 from .runtime import read, remainder, save, small_batches
 
 CLASSES, WIDTH, ROUNDS = 32, 64, 2
-#: Rows of the two weight tables (hashed features).
+#: Rows of the two weight tables (hashed features); like CLASSES a power of two.
 FEATURE_ROWS = 1 << 14
 #: Tokens whose counts are broadcast. A fixed number; all other counts are joined.
 KNOWN = 1 << 17
@@ -54,7 +54,7 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out, cls, rows = np.empty(len(h) + n, np.uint64), np.zeros(len(h) + n, np.int64), np.empty(len(h) + n, np.int64)
     words, ends = np.arange(len(h)) + row, np.searchsorted(row, np.arange(n), "right") + np.arange(n)
     out[words], out[ends] = h, _END
-    cls[words] = (T.mix64(suffix) % np.uint64(CLASSES)).astype(np.int64)
+    cls[words] = (T.mix64(suffix) & np.uint64(CLASSES - 1)).view(np.int64)
     rows[words], rows[ends] = row, np.arange(n)
     return out, cls, rows
 
@@ -136,8 +136,8 @@ class Model:
         at = find(self.slots, self.known, h)
         return np.append(self.known_count, -1)[at], np.append(self.known_id, -1)[at]
 
-    def events(self, ids: np.ndarray, cls: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, word within it (-1: told apart by count) and the three context features of every token."""
+    def events(self, ids: np.ndarray, cls: np.ndarray, row: np.ndarray, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, word within it (-1: told apart by count) and the three context features of the tokens ``at``."""
         own = ids >= 0
         y = np.where(own, ids // WIDTH, CLASSES + cls)
         word = np.where(own, ids % WIDTH, -1)
@@ -146,24 +146,34 @@ class Model:
         for k in (1, 2):
             same = row[k:] == row[:-k]
             before[k - 1, k:][same] = seen[:-k][same]
-        f = np.stack([before[0], before[1] + 100_003, before[0] * 100_019 + before[1] + 1_000_000_007]).astype(np.uint64)
-        return y, word, (T.mix64(f) % np.uint64(FEATURE_ROWS)).astype(np.int64)
+        one, two = before[:, at]
+        f = np.stack([one, two + 100_003, one * 100_019 + two + 1_000_000_007]).astype(np.uint64)
+        return y[at], word[at], (T.mix64(f) & np.uint64(FEATURE_ROWS - 1)).view(np.int64)
 
     def logits(self, f: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
-        if y is None:
-            return self.class_bias + self.w1[f[0]] + self.w1[f[1]] + self.w1[f[2]]
-        g = inner(f, y)
-        return self.word_bias[y] + self.w2[g[0]] + self.w2[g[1]] + self.w2[g[2]]
+        table, g = (self.w1, f) if y is None else (self.w2, inner(f, y))
+        z = table[g[0]]
+        z += table[g[1]]
+        z += table[g[2]]
+        z += self.class_bias if y is None else self.word_bias[y]
+        return z
 
 
 def inner(f: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Rows of the second table: a context feature together with the class."""
-    return (T.mix64((f * CLASSES + y).astype(np.uint64)) % np.uint64(FEATURE_ROWS)).astype(np.int64)
+    return (T.mix64((f * CLASSES + y).astype(np.uint64)) & np.uint64(FEATURE_ROWS - 1)).view(np.int64)
+
+
+def softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.float32]:
+    """exp(z - top), its row sums, and top: the largest of a whole batch, whose rows share their biases and so lie close together."""
+    top = z.max(initial=np.float32(-1e30))
+    e = np.exp(np.maximum(z - top, np.float32(-80)))
+    return e, e @ np.ones(z.shape[1], np.float32), top
 
 
 def log_softmax_at(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    top = z.max(1)
-    return z[np.arange(len(y)), y] - top - np.log(np.exp(z - top[:, None]).sum(1))
+    _, total, top = softmax(z)
+    return z[np.arange(len(y)), y] - top - np.log(total)
 
 
 def count_tokens(train: DataFrame) -> DataFrame:
@@ -222,21 +232,18 @@ def _descend(shared, turn: int, rate: float, calm: float, batch_size: int = 2048
         for batch in batches:
             for b in T.slices(batch, "text"):
                 h, cls, row = _tokens(b)
-                y, word, f = own.events(own.look_up(h)[1], cls, row)
-                at = np.arange(turn % EVERY, len(h), EVERY)
-                for i in range(0, len(at), batch_size):
-                    a = at[i : i + batch_size]
-                    z = own.logits(f[:, a])
-                    p = np.exp(z - z.max(1, keepdims=True))
-                    p /= p.sum(1, keepdims=True)
+                y, word, f = own.events(own.look_up(h)[1], cls, row, np.arange(turn % EVERY, len(h), EVERY))
+                for i in range(0, len(y), batch_size):
+                    a = np.arange(i, min(i + batch_size, len(y)))
+                    p, total, _ = softmax(own.logits(f[:, a]))
+                    p /= total[:, None]
                     p[np.arange(len(a)), y[a]] -= 1
                     for k in range(3):
                         _step(w[0], acc[0], used[0], f[k, a], p, rate, calm)
                     a = a[word[a] >= 0]
                     if len(a):
-                        z = own.logits(f[:, a], y[a])
-                        p = np.exp(z - z.max(1, keepdims=True))
-                        p /= p.sum(1, keepdims=True)
+                        p, total, _ = softmax(own.logits(f[:, a], y[a]))
+                        p /= total[:, None]
                         p[np.arange(len(a)), word[a]] -= 1
                         g = inner(f[:, a], y[a])
                         for k in range(3):
@@ -306,10 +313,10 @@ def _score(shared):
                 count, ids = m.look_up(h)
                 y, word, f = m.events(ids, cls, row)
                 model = np.zeros(len(h))
-                for i in range(0, len(h), 4096):
-                    a = slice(i, i + 4096)
+                for i in range(0, len(h), 1024):
+                    a = slice(i, i + 1024)
                     model[a] = log_softmax_at(m.logits(f[:, a]), y[a])
-                    own = np.arange(i, min(i + 4096, len(h)))[word[a] >= 0]
+                    own = np.arange(i, min(i + 1024, len(h)))[word[a] >= 0]
                     if len(own):
                         model[own] += log_softmax_at(m.logits(f[:, own], y[own]), word[own])
                 model /= np.log(10)
