@@ -8,6 +8,9 @@ order changes the time only, never the verdict, since a text is kept if no rule
 Defined results: a null or blank text has no words and fails the base rule; repeated rows are
 judged one by one; an empty table gives no rows (the rules then keep their listed order). Other
 columns of the input are ignored.
+
+Write the result before filtering on it: a filter that the optimizer pushes below the measures
+takes the place of an array's name in their lambdas and has the array made for every element.
 """
 
 from __future__ import annotations
