@@ -542,6 +542,29 @@ def test_near_passage(spark):
     assert any(r["n_words"] >= 80 and 0.8 <= r["similarity"] < 1 for r in rows)
 
 
+def test_later_version_of_a_boilerplate(spark):
+    """Two documents that share an edited version meet, though many earlier ones have the first version."""
+    rng, rows, want = random.Random(21), [], set()
+    for n in range(12):
+        a = prose(rng, 50).split()
+        b = [f"new{n}{i}" if i in (22, 26) else w for i, w in enumerate(a)]
+        of = lambda p: " ".join([prose(rng, 20), *p, prose(rng, 20)])
+        rows += [(1000 * n + i, of(a)) for i in range(21)] + [(1000 * n + i, of(b)) for i in (500, 900)]
+        want.add((1000 * n + 900, 1000 * n + 500))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert want <= {(r["doc_id"], r["ref_doc_id"]) for r in substring_dedup.near_passages(d).collect()}
+
+
+def test_passage_copies_and_blocks(spark, monkeypatch):
+    """Copies of a text are reported against its first one; a signature's members meet in any number of blocks."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 3)
+    rng = random.Random(22)
+    p, whole = prose(rng, 60), prose(rng, 80)
+    rows = [(i, f"{prose(rng, 20)} {p} {prose(rng, 20)}") for i in range(10)] + [(20 + i, whole) for i in range(4)]
+    got = {(r["doc_id"], r["ref_doc_id"]) for r in substring_dedup.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, k) for i in range(10) for k in range(i)} | {(20 + i, 20) for i in (1, 2, 3)}
+
+
 def test_compact_windows():
     rng = np.random.default_rng(3)
     from shapeflow.llm.windows import cartesian_spans, window_minima
