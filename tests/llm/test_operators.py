@@ -565,6 +565,38 @@ def test_passage_copies_and_blocks(spark, monkeypatch):
     assert got == {(i, k) for i in range(10) for k in range(i)} | {(20 + i, 20) for i in (1, 2, 3)}
 
 
+def _brute_cover(a, b, width, threshold):
+    """Places of ``a`` between the first and last shared one of any two near-duplicate stretches, by trying all pairs."""
+    spans = lambda x: [(i, j, set(x[i:j].tolist())) for i in range(len(x)) for j in range(i + width, len(x) + 1)]
+    out, other = set(), spans(b)
+    for i, j, x in spans(a):
+        for _, _, y in other:
+            if len(x & y) >= threshold * len(x | y) - 1e-12:
+                both = [n for n in range(i, j) if int(a[n]) in y]
+                out |= set(range(both[0], both[-1] + 1))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_passages_against_brute_force(seed, monkeypatch):
+    rng = random.Random(seed)
+    new = iter(range(1000, 9999))
+    p = list(range(16))
+    edited = [next(new) if rng.random() < 0.08 else w for w in p]
+    loose = list(range(100, 110))
+    a = [*p, *loose, *[next(new) for _ in range(3)]]
+    b = [*(p[:6] if seed % 2 else []), *[next(new) for _ in range(3)], *edited, *[next(new) if rng.random() < 0.4 else w for w in loose]]
+    a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+    want = _brute_cover(a, b, 8, 0.8)
+    for matches in (1 << 20, 0):
+        monkeypatch.setattr(substring_dedup, "MATCHES", matches, raising=False)
+        found = substring_dedup.passages(a, b, 8, 0.8)
+        assert want <= {x for i, j, *_ in found for x in range(i, j + 1)}
+        for i, j, k, m, s in found:
+            x, y = set(a[i : j + 1].tolist()), set(b[k : m + 1].tolist())
+            assert j - i >= 7 and m - k >= 7 and s == pytest.approx(len(x & y) / len(x | y)) and s >= 0.8
+
+
 def test_compact_windows():
     rng = np.random.default_rng(3)
     from shapeflow.llm.windows import cartesian_spans, window_minima
