@@ -8,8 +8,8 @@ their smoothed counts.
 *Model.* P(token) = P(class | context) * P(token | class, context). Both factors are softmaxes
 over sums of hashed weights: the previous token, the one before it (a skip feature), and the two
 together. They start as the counts' own distribution and are trained by gradient updates: in each
-of ``ROUNDS`` rounds every task descends over its share of the training positions from the same
-weights; the new weights are the mean of the tasks' rows, weighted by how often each row was used.
+of ``ROUNDS`` rounds every task descends over a share of the positions of its training texts from the
+same weights, each position in one round; the new weights are the mean of the tasks' rows, weighted by how often each row was used.
 
 *Scoring.* One pass over the texts in sparse numpy batches. Counts of the ``KNOWN`` most frequent
 tokens go along as a table of fixed size; the rarer tokens of a text leave the pass as rows and
@@ -38,8 +38,6 @@ CLASSES, WIDTH, ROUNDS = 32, 64, 2
 FEATURE_ROWS = 1 << 14
 #: Tokens whose counts are broadcast. A fixed number; all other counts are joined.
 KNOWN = 1 << 17
-#: Each round descends over every EVERY-th position of every training text (another residue each round).
-EVERY = 8
 _END = T.mix64(np.array([0xE0D], np.uint64))
 _OUT, _START = 2 * CLASSES, CLASSES * WIDTH + CLASSES  # classes in all; the id of the place before a text
 
@@ -223,7 +221,7 @@ def _step(w: np.ndarray, acc: np.ndarray, used: np.ndarray, rows: np.ndarray, g:
     w[u] -= rate * s / np.sqrt(acc[u] + calm)[:, None]
 
 
-def _descend(shared, turn: int, rate: float, calm: float, batch_size: int = 2048):
+def _descend(shared, turn: int, rounds: int, rate: float, calm: float, batch_size: int = 2048):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         w = [m.w1.copy(), m.w2.copy()]
@@ -232,7 +230,8 @@ def _descend(shared, turn: int, rate: float, calm: float, batch_size: int = 2048
         for batch in batches:
             for b in T.slices(batch, "text"):
                 h, cls, row = _tokens(b)
-                y, word, f = own.events(own.look_up(h)[1], cls, row, np.arange(turn % EVERY, len(h), EVERY))
+                at = np.arange(len(h)) - T.row_bounds(row, b.num_rows)[row]  # by the place in its text, so that batches need not be alike in all rounds
+                y, word, f = own.events(own.look_up(h)[1], cls, row, np.flatnonzero(at % rounds == turn))
                 for i in range(0, len(y), batch_size):
                     a = np.arange(i, min(i + batch_size, len(y)))
                     p, total, _ = softmax(own.logits(f[:, a]))
@@ -284,11 +283,11 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS, rate: float = 0.15, calm: float = 0.5) -> Model:
-    """Counts, then ``rounds`` of distributed gradient updates over all training texts."""
+    """Counts, then ``rounds`` of distributed gradient updates, which together use every position of the training texts once."""
     sc, m = train.sparkSession.sparkContext, start(counts)
     for turn in range(rounds if m.total else 0):
         shared = sc.broadcast(m)
-        parts = train.select("text").mapInArrow(_descend(shared, turn * 3, rate, calm), "table int, r long, n double, w binary")
+        parts = train.select("text").mapInArrow(_descend(shared, turn, rounds, rate, calm), "table int, r long, n double, w binary")
         mean = parts.repartition("table", "r").sortWithinPartitions("table", "r", "n", "w").mapInArrow(_average, "table int, r long, w binary").toArrow()
         t, r = mean.column("table").to_numpy(), mean.column("r").to_numpy()
         m = Model(m.total, m.distinct, m.known, m.known_count, m.known_id, m.tail_total, m.tail_distinct, m.class_bias, m.word_bias, m.w1.copy(), m.w2.copy())

@@ -187,6 +187,17 @@ def test_lm_model_is_a_distribution(spark, docs):
     assert (p / p.sum()).sum() == pytest.approx(1, abs=1e-5) and z.shape == (1, 2 * lm_scoring.CLASSES)
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_lm_trains_on_every_position(spark, docs, texts, monkeypatch, rounds):
+    calls, descend = [], lm_scoring._descend
+    monkeypatch.setattr(lm_scoring, "_descend", lambda *args: calls.append(args) or descend(*args))
+    train = docs.select("text")
+    lm_scoring.fit(train, lm_scoring.count_tokens(train), rounds=rounds)
+    batch = train.toArrow().combine_chunks().to_batches()[0]
+    used = sum(sum(n for t, n in zip(b["table"].to_pylist(), b["n"].to_pylist(), strict=True) if t == 0) for args in calls for b in descend(*args)(iter([batch])))
+    assert used == 3 * sum(len(low(t)) + 1 for t in texts.values())  # three features a position
+
+
 def test_lm_open_table():
     keys = np.unique(np.random.default_rng(0).integers(1, 2**63, 500, dtype=np.uint64))
     t = lm_scoring.open_table(keys)
