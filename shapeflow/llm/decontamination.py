@@ -1,17 +1,18 @@
-"""Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
+"""Benchmark decontamination by item-sized windows, in DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased; shingles are runs of ``K`` words (all words of
 a shorter item), by 64-bit hash, and a shingle weighs as often as it occurs.
 
-1. A window can only reach the threshold if nearly all its shingles occur in the benchmark, and
-   then it lies where a shared shingle has its place in an item. So a text's shingles are looked
-   up in the benchmark's, and windows of the items' lengths are laid at these places; those with
-   fewer benchmark shingles than the threshold needs are given up (this loses nothing).
-2. The windows left, and the items, get a 64-bit SimHash. Fingerprints are cut into ``RADIUS + 1``
-   blocks; any two within RADIUS bits agree in one block, so an equality join on (length, block
-   number, block value) meets all of them. A pair comes out once, at its first equal block.
-3. Pairs within the radius are verified by the exact weighted similarity: sum of the lesser
-   weights over sum of the greater weights, at least ``threshold``.
+1. A window can only reach the threshold if nearly all its shingles occur in items of its length.
+   So a text's shingles are looked up in the benchmark's, and windows of the items' lengths are laid
+   at every position where enough of them are inside; the others are given up (this loses nothing).
+2. The windows left meet the items of their length that share a shingle with them, by equality joins;
+   of an item only its rarest shingles are joined, so many that a window at the threshold has one.
+3. All these pairs are verified by the exact weighted similarity: sum of the lesser weights over sum of
+   the greater weights, at least ``threshold``. Of equally similar windows those where a shared
+   shingle stands at its own place in the item come first, then the first in the text.
+
+SimHash fingerprints (:func:`simhash`) are not used to choose pairs: any radius loses some.
 
 The benchmark's shingles are broadcast only if their counted number allows it; else the lookup is
 a shuffled join, which AQE splits where a shingle is hot.
@@ -62,7 +63,7 @@ def weighted_similarity(a: Column, b: Column) -> Column:
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per contaminated document and item: doc_id, item_id, similarity, start_word, n_words (the best window, the first of equals)."""
+    """One row per contaminated document and item: doc_id, item_id, similarity, start_word, n_words (the best window; of equals an aligned one, then the first)."""
     items = benchmark.select(F.col(item_col).alias("item_id"), _words(F.col(item_text)).alias("words")).withColumn("len", F.size("words")).where("len > 0")
     items = save(items, "items")
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
@@ -72,41 +73,46 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         found = one if found is None else found.unionByName(one)
     if found is None:
         return d.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words")).where("false")
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("s")).alias("s"), "n_words")).alias("best"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("s")).alias("s"), "n_words")).alias("best"))
     return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.s")).alias("start_word"), F.col("best.n_words").alias("n_words"))
 
 
 def _find(d: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
-    items = save(items.withColumn("grams", _grams("words", k)).withColumn("print", simhash("grams")).drop("words"), "items")
-    places = items.select("len", F.posexplode("grams").alias("at", "g")).groupBy("g").agg(F.collect_set(F.struct("at", "len")).alias("places"))
+    items = save(items.withColumn("grams", _grams("words", k)).drop("words").dropDuplicates(["item_id", "grams"]), "items")
+    m = F.col("len") - (k - 1)
+    places = items.select("len", F.explode("grams").alias("g")).groupBy("g").agg(F.collect_set("len").alias("lens"))
     shingled = lambda t, *more: t.withColumn("words", _words(F.col("text"))).select("doc_id", "row", _grams("words", k).alias("grams"), *more)
     # outer: otherwise a filter on the array would be inferred and pushed below, where it makes the words anew for every shingle
     hits = shingled(d).select("doc_id", "row", F.posexplode_outer("grams").alias("pos", "g")).join(bounded(save(places, "places")), "g")
-    hits = hits.groupBy("doc_id", "row").agg(F.collect_list(F.struct("pos", "places")).alias("hits"))
-    hits = save(hits.withColumn("found", F.array_sort(F.transform("hits", lambda x: x["pos"]))).withColumn(
-        "windows", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(x["places"], lambda p: F.struct((x["pos"] - p["at"]).alias("s"), p["len"].alias("len"))))))
-    ).drop("hits").withColumnRenamed("doc_id", "id"), "hits")
-    text = d.join(bounded(hits), (d["row"] == hits["row"]) & d["doc_id"].eqNullSafe(hits["id"])).select("doc_id", d["row"], "text", "found", "windows").dropDuplicates(["doc_id", "row"])
-    text = save(shingled(text, "found", "windows"), "hit-texts")
-    n = F.size("grams") + k - 1
-    laid = lambda w: F.struct(F.greatest(F.lit(0), F.least(w["s"], n - w["len"])).alias("s"), w["len"].alias("len"))
-    text = text.withColumn("windows", F.array_distinct(F.transform("windows", laid)))
-    w = text.select("doc_id", "row", "grams", "found", F.explode("windows").alias("w")).select("doc_id", "row", "grams", "found", F.col("w.s").alias("s"), F.col("w.len").alias("len"))
-    size = F.least(F.col("len") - (k - 1), F.size("grams") - F.col("s"))
-    inside = F.size(F.filter("found", lambda p: (p >= F.col("s")) & (p < F.col("s") + size)))
-    needed = threshold / (1 + threshold) * (size + F.col("len") - (k - 1)) - 1e-9  # of size + size, as similarity = shared / (sum - shared)
-    w = w.where(inside >= needed).select("doc_id", "row", "s", "len", F.slice("grams", F.col("s") + 1, size).alias("grams"))
-    w = save(w.withColumn("print", simhash("grams")), "windows")
-    cut = lambda t: t.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(RADIUS)))).withColumn("v", F.element_at(F.array(*[_block(F.col("print"), b) for b in range(RADIUS + 1)]), F.col("b") + 1))
-    left = cut(w.select("doc_id", "row", "s", "len", "print"))
-    right = cut(items.select("item_id", "len", "print")).withColumnRenamed("print", "item_print")
-    diff = F.col("print").bitwiseXOR(F.col("item_print"))
-    first = F.coalesce(*[F.when(_block(diff, b) == 0, F.lit(b)) for b in range(RADIUS + 1)])
-    near = left.join(right, ["len", "b", "v"]).where((F.bit_count(diff) <= RADIUS) & (first == F.col("b"))).select("doc_id", "row", "s", "len", "item_id")
-    near = near.join(w.select("row", "s", "len", "grams", F.col("doc_id").alias("id")), ["row", "s", "len"]).where(F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
-    near = near.join(items.select("item_id", "len", F.col("grams").alias("item_grams")), ["item_id", "len"])
+    hits = hits.select("doc_id", "row", "pos", F.explode("lens").alias("len")).groupBy("doc_id", "row", "len").agg(F.array_sort(F.collect_set("pos")).alias("found"))
+    hits = hits.groupBy("doc_id", "row").agg(F.collect_list(F.struct("len", "found")).alias("hits"))
+    hits = save(hits.withColumnRenamed("doc_id", "id"), "hits")
+    text = d.join(bounded(hits), (d["row"] == hits["row"]) & d["doc_id"].eqNullSafe(hits["id"])).select("doc_id", d["row"], "text", "hits").dropDuplicates(["doc_id", "row"])
+    text = save(shingled(text, "hits"), "hit-texts").select("doc_id", "row", "grams", F.explode("hits").alias("h"))
+    text = text.select("doc_id", "row", "grams", "h.len", "h.found").withColumn("size", F.least(m, F.size("grams")))
+    text = text.withColumn("needed", F.greatest(F.lit(1), F.ceil(threshold / (1 + threshold) * (F.col("size") + m) - 1e-9).cast("int")))  # of size + size, as similarity = shared / (sum - shared)
+    # needed places in a row fit into the windows from the last's end back to the first
+    low = lambda i: F.greatest(F.lit(0), F.get("found", i + F.col("needed") - 1) - F.col("size") + 1)
+    high = lambda i: F.least(F.get("found", i), F.size("grams") - F.col("size"))
+    runs = F.sequence(F.lit(0), F.size("found") - F.col("needed"))
+    laid = F.transform(F.filter(runs, lambda i: low(i) <= high(i)), lambda i: F.sequence(low(i), high(i)))
+    w = text.where(F.size("found") >= F.col("needed")).select("doc_id", "row", "grams", "len", "size", F.explode(F.array_distinct(F.flatten(laid))).alias("s"))
+    w = w.select("doc_id", "row", "s", "len", F.size("grams").alias("n"), F.slice("grams", F.col("s") + 1, F.col("size")).alias("grams"))
+    w = save(w, "windows")
+    shared = items.select("item_id", "len", F.explode("grams").alias("g"))
+    rare = shared.groupBy("len", "g").agg(F.count_distinct("item_id").alias("times"))
+    # a window at the threshold has at least threshold * m of an item's m shingles, so one of any m - ceil(threshold * m) + 1
+    firsts = items.select("item_id", "len", "grams", F.posexplode("grams").alias("at", "g")).join(rare, ["len", "g"])
+    firsts = firsts.groupBy("item_id", "len", "grams").agg(F.array_sort(F.collect_list(F.struct("times", "g", "at"))).alias("by"))
+    firsts = firsts.select("item_id", "len", "grams", F.explode(F.array_distinct(F.transform(F.slice("by", F.lit(1), (m - F.ceil(threshold * m - 1e-9) + 1).cast("int")), lambda x: x["g"]))).alias("g"))
+    firsts = save(firsts.withColumnRenamed("grams", "item_grams"), "firsts")
+    near = w.select("doc_id", "row", "s", "len", "n", "grams", F.explode(F.array_distinct("grams")).alias("g")).join(bounded(firsts), ["len", "g"])
+    near = near.dropDuplicates(["doc_id", "row", "s", "len", "item_id", "item_grams"])
     near = near.withColumn("similarity", weighted_similarity(F.col("grams"), F.col("item_grams"))).where(F.col("similarity") >= threshold)
-    return near.select("doc_id", "item_id", "similarity", "s", (F.size("grams") + k - 1).alias("n_words"))
+    i = F.sequence(F.lit(0), F.size("grams") - 1)
+    last = F.col("n") - F.size("grams")
+    aligned = F.exists(i, lambda x: (F.get("grams", x) == F.get("item_grams", x)) | ((F.col("s") == 0) & F.array_contains(F.slice("item_grams", x + 1, F.size("item_grams")), F.get("grams", x))) | ((F.col("s") == last) & F.array_contains(F.slice("item_grams", F.lit(1), x + 1), F.get("grams", x))))
+    return near.select("doc_id", "item_id", "similarity", "s", (F.size("grams") + k - 1).alias("n_words"), aligned.alias("aligned"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

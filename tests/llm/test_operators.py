@@ -515,6 +515,16 @@ def test_simhash_blocks():
         assert any((x >> 4 * k) & 15 == (y >> 4 * k) & 15 for k in range(decontamination.RADIUS + 1))
 
 
+def test_decontamination_of_reordered_items(spark):
+    """The halves of an item the other way round, under all positions of the windows."""
+    rng = random.Random(8)
+    x, y = prose(rng, 24), prose(rng, 24)
+    d = spark.createDataFrame([(1, f"{prose(rng, 30)} {y} {x} {prose(rng, 30)}"), (2, f"{prose(rng, 60)} {x}")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, f"{x} {y}")], "item_id long, text string")
+    got = [tuple(r) for r in decontamination.find_items(d, b).collect()]
+    assert got == [(1, 1, pytest.approx(40 / 48), 30, 48)]
+
+
 def test_decontamination_edges(spark, odd):
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontamination.find_items(empty(spark), b).count() == 0
