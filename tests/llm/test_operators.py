@@ -525,6 +525,19 @@ def test_decontamination_of_reordered_items(spark):
     assert got == [(1, 1, pytest.approx(40 / 48), 30, 48)]
 
 
+def test_decontamination_loses_no_pair(spark):
+    """Every pair of similarity 0.8 or more is found, whatever the distance of its fingerprints."""
+    rng = random.Random(9)
+    items = [(i, prose(rng, 59).split()) for i in range(300)]
+    docs = [(i, [f"new{i}" if n == 55 else v for n, v in enumerate(w)]) for i, w in items]
+    docs = [(i, w[:1] + [f"new{i}"] + w[2:]) for i, w in docs]  # 49 of 55 shingles are left, similarity 0.803
+    table = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key} long, text string")
+    sets = lambda w: {tuple(w[n : n + 5]) for n in range(len(w) - 4)}
+    own = dict(items)
+    want = {(i, i) for i, w in docs if len(sets(w) & sets(own[i])) >= 0.8 * len(sets(w) | sets(own[i]))}
+    assert len(want) > 200 and want == {(r["doc_id"], r["item_id"]) for r in decontamination.find_items(table(docs, "doc_id"), table(items, "item_id")).collect()}
+
+
 def test_decontamination_edges(spark, odd):
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontamination.find_items(empty(spark), b).count() == 0
