@@ -20,20 +20,28 @@ def bounded(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: str, salts: int = 8) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` (one narrow row a key): the rows of a key are dealt over ``salts`` tasks by a hash of the column ``by``, and the key's row goes to each."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(by), F.lit(7)), F.lit(salts)).cast("int"))
+    right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root): for each node with a link its component's smallest node.
 
     Alternates large-star and small-star steps (each one aggregation and one join); the table is
-    written after each round. Hubs are no trouble: a step needs a node's minimum only.
+    written after each round. A step needs a node's minimum only; the edges of a hub are dealt over
+    several tasks.
     """
     e = save(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both.where("b > a"), least, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        small = spread_join(large, low, ["a"], "b").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         e = save(small, "edges")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
@@ -82,6 +90,24 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Sorted batches cut so that no run of equal keys is torn; many small runs stay together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        c = b.column(key).to_numpy()
+        cut = int(np.searchsorted(c, c[-1]))
+        if held and (cut or held[0].column(key)[0].as_py() != c[0]):
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([b.slice(0, cut)])
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def block_pairs(members: DataFrame, key: str, node: str, block: int) -> DataFrame:
     """Deals the members of each ``key`` out to pairs of blocks of about ``block`` members: columns i <= j and side (the block of this row).
 

@@ -48,6 +48,14 @@ def _clean() -> None:
             return
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it as long as a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bound the rows and bytes of an Arrow batch, so that a Python worker holds few texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

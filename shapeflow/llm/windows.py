@@ -37,7 +37,7 @@ def window_minima(order: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np
 
 
 def cartesian_spans(order: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the widest span [l, r] of its row in which it is the minimum: its subtree in the row's Cartesian tree.
+    """For each place the widest span [l, r] of its row in which no value is less: its subtree in the row's Cartesian tree, with equal values in one node.
 
     Found by descent over tables of minima of 1, 2, 4, ... values, for all places at once.
     """
@@ -50,12 +50,12 @@ def cartesian_spans(order: np.ndarray, bounds: np.ndarray, places: np.ndarray) -
     while size * 2 <= longest:
         tables.append(np.minimum(tables[-1][:-size], tables[-1][size:]))
         size *= 2
-    left, right, own = places.copy(), places + 1, v[places]
+    left, right, own = places.copy(), places + 1, v[places] & ~_PLACE
     for k in range(len(tables) - 1, -1, -1):
         t, step = tables[k], 1 << k
         at = left - step
-        go = (at >= low) & (t[np.clip(at, 0, len(t) - 1)] > own)
+        go = (at >= low) & (t[np.clip(at, 0, len(t) - 1)] >= own)
         left = np.where(go, at, left)
-        go = (right + step <= high) & (t[np.clip(right, 0, len(t) - 1)] > own)
+        go = (right + step <= high) & (t[np.clip(right, 0, len(t) - 1)] >= own)
         right = np.where(go, right + step, right)
     return left, right - 1
