@@ -15,7 +15,7 @@ documents that are not linked, and no pair inside a cluster goes unconfirmed.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; rows
 with equal ids are one document of several texts; rows with a null id are returned with a null
-component and kept. Other columns of the input are ignored.
+component and kept; very long texts are taken whole. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from . import textops as T
 from .graph import Forest, block_pairs, bounded, components, groups
 from .runtime import read, save, small_batches
 
-#: 20 bands of 5: a pair of similarity 0.85 shares no band with probability 1e-5.
-BANDS, ROWS, BATCH = 20, 5, 20
+#: Hashes of a signature, and how many are compared at a time.
+HASHES, BATCH = 100, 20
 BLOCK = 256
-_A = (np.random.default_rng(66).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_A = (np.random.default_rng(66).integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _LOW = np.uint64((1 << 54) - 1)
 
 
@@ -48,11 +48,19 @@ def shingle_sets(batch: pa.RecordBatch, text: str, k: int) -> tuple[np.ndarray,
     return key & _LOW, np.searchsorted(key >> np.uint64(54), np.arange(batch.num_rows + 1, dtype=np.uint64))
 
 
+def banding(threshold: float, miss: float) -> tuple[int, int]:
+    """Bands and rows a band: the most rows with which a pair of similarity ``threshold`` shares no band with probability ``miss`` at most."""
+    fit = [r for r in range(1, HASHES + 1) if (1 - threshold**r) ** (HASHES // r) <= miss]
+    if not fit:
+        raise ValueError(f"{HASHES} hashes cannot find pairs of similarity {threshold} at a miss probability of {miss}")
+    return HASHES // max(fit), max(fit)
+
+
 def posterior_floors(threshold: float, miss: float) -> list[int]:
     """For each number of compared hashes (BATCH, 2 * BATCH, ...): the fewest matches with P(similarity >= threshold | matches) >= miss, from a uniform prior."""
     s = np.linspace(0, 1, 20001)[1:-1]
     out = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in range(BATCH, HASHES + 1, BATCH):
         m = 0
         while m < n:
             logp = m * np.log(s) + (n - m) * np.log1p(-s)
@@ -64,7 +72,7 @@ def posterior_floors(threshold: float, miss: float) -> list[int]:
     return out
 
 
-def _sketch(k: int):
+def _sketch(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in T.slices(batch, "text"):
@@ -74,17 +82,17 @@ def _sketch(k: int):
                 v = T.mix64(s)
                 total = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(np.stack([v, T.mix64(s ^ np.uint64(0x5BD1E995))], 1), 0, dtype=np.uint64)])
                 digest = (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
-                sig = np.zeros((b.num_rows, BANDS * ROWS), np.uint64)
+                sig = np.zeros((b.num_rows, HASHES), np.uint64)
                 if len(some):
                     for i, a in enumerate(_A):
                         sig[some, i] = np.minimum.reduceat(v * a, bounds[some])
-                band = np.zeros((b.num_rows, BANDS), np.uint64)
-                for r in range(ROWS):
-                    band = T.mix64(band + sig[:, r::ROWS] + np.uint64(r))
+                band = np.zeros((b.num_rows, bands), np.uint64)
+                for r in range(rows):
+                    band = T.mix64(band + sig[:, r : bands * rows : rows] + np.uint64(r))
                 small = (T.mix64(sig) & np.uint64(0xFFFF)).astype(np.uint16)
                 flat = pa.array(band.view(np.int64).ravel())
                 yield pa.record_batch(
-                    [b.column("doc_id"), pa.array(n), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat), pa.array([x.tobytes() for x in small], pa.binary())],
+                    [b.column("doc_id"), pa.array(n), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat), pa.array([x.tobytes() for x in small], pa.binary())],
                     ["doc_id", "n_shingles", "d1", "d2", "bands", "sig"],
                 )
 
@@ -179,11 +187,11 @@ def _confirm(percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union of k-word shingle sets."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union of k-word shingle sets; a pair at the threshold is missed with a probability of ``miss`` at most by the bands, and as much by the pruning."""
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = save(d.mapInArrow(_sketch(k), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary"), "sketches")
+    base = save(d.mapInArrow(_sketch(k, *banding(percent / 100, miss)), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary"), "sketches")
     keys = ["n_shingles", "d1", "d2"]
     there = base.where("n_shingles > 0 and doc_id is not null")
     classes = save(there.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")

@@ -8,7 +8,7 @@ for each bucket (the vector times the difference of the two output rows), and sc
 mean of looked-up numbers.
 
 Defined results: a null or empty text has no features and gets the bias's score; without labelled
-rows every score is 0.5; rows labelled twice are used twice; repeated rows are scored one by one;
+rows every score is 0.5; rows labelled twice are used twice; repeated rows are scored one by one; very long texts are taken whole;
 an empty table gives no rows. Other columns of the input are ignored.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .runtime import read, remainder, small_batches
+from .runtime import free_name, read, remainder, small_batches
 
 BUCKETS, DIMS, GRAMS, LAGS = 1 << 17, 16, (1, 2, 4), (1, 2, 3, 4)
 #: Rows of the training sample: those with the least hash of the id. Documented bound, the same at every input size.
@@ -112,13 +112,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], tex
     """The columns ``keep`` and score (0 to 1) for every whole text."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs.select(*keep, F.col(text_col).alias("_text"))
+    own = free_name("_text", keep)
+    d = docs.select(*keep, F.col(text_col).alias(own))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
         for batch in batches:
-            for b in T.slices(batch, "_text"):
-                f, row = _features(b.column("_text"))
+            for b in T.slices(batch, own):
+                f, row = _features(b.column(own))
                 n = np.bincount(row, minlength=b.num_rows)
                 z = np.bincount(row, w[f], b.num_rows) / np.maximum(n, 1) + bias
                 yield pa.record_batch([*[b.column(i) for i in range(len(keep))], pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], [*keep, "score"])

@@ -10,13 +10,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+_made: list[tuple] = []
+_watched: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a private one only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a private one only where it is unset and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="shapeflow-")
         atexit.register(shutil.rmtree, own, True)
         found = "file://" + own
@@ -25,27 +28,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it as Parquet to the shared folder and read it back."""
+    """Cut the lineage of ``df``: write it as Parquet to the shared folder and read it back. The table goes with :func:`release`, with the session, or at exit."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    if not any(sc is x for x in _watched):
+        stop = sc.stop
+        sc.stop = lambda: (release(), stop())[1]
+        _watched[:] = [sc]
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    _made.append((p.getFileSystem(sc._jsc.hadoopConfiguration()), p))
     df.write.parquet(path)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def release() -> None:
+    """Deletes all tables that :func:`save` has written; results that still read them have to be written before."""
+    while _made:
+        fs, p = _made.pop()
+        fs.delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may have ended before
-            return
+    try:
+        release()
+    except Exception:  # the JVM may have ended before
+        return
 
 
 def free_name(name: str, columns: list[str]) -> str:

@@ -17,7 +17,9 @@ a smaller id. Strings of whole texts are compared as UTF-8 bytes and never cross
    are sorted by their first symbol and the rank that follows, and merged. Comparing the LENGTH-byte
    prefixes of adjacent suffixes gives the groups of equal strings, and each group's smallest id.
 
-Defined results: a null text is empty; texts shorter than LENGTH bytes lose nothing; rows with
+Strings are compared by 64-bit hashes where whole stretches are equal, byte by byte elsewhere.
+
+Defined results: a null text is empty; very long texts are taken whole; texts shorter than LENGTH bytes lose nothing; rows with
 equal ids do not count as smaller than one another; a row with a null id is left as it is and
 makes no other row a duplicate; an empty table gives no rows. Other columns are ignored.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .graph import bounded, groups
+from .graph import bounded, groups, spread_join
 from .runtime import read, save, small_batches
 from .windows import window_minima
 
@@ -300,7 +302,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text", text).withColumn("mark", F.xxhash64("text"))
     digests = save(d.select("doc_id", "mark", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").alias("size")), "digests")
     firsts = digests.where(f"doc_id is not null and size >= {LENGTH}").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copies = save(digests.join(firsts, "sha").where("doc_id > first").select("doc_id", "mark").distinct(), "copies")
+    copies = save(spread_join(digests.where("doc_id is not null"), firsts, ["sha"], "doc_id").where("doc_id > first").select("doc_id", "mark").distinct(), "copies")
     copied = bounded(copies)
     own = d.where(f"doc_id is not null and octet_length(text) >= {LENGTH}").join(copied, ["doc_id", "mark"], "left_anti")
     total = digests.agg(F.sum("size")).first()[0] or 0
