@@ -9,6 +9,7 @@ an aggregation; no state is kept between iterations and nothing has to be checkp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,12 +25,44 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
 
 
+#: Values of a sum that travel as one row.
+CHUNK = 1 << 16
+
+
+def sum_arrays(parts: DataFrame, key: str) -> dict[int, np.ndarray]:
+    """Element-wise sums of the arrays ``v`` by (key, chunk), joined again for each key. A task holds one sum for each of its rows' keys; one row a key and chunk comes to the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for i, (k, c) in enumerate(zip(b.column(key).to_pylist(), b.column("chunk").to_pylist(), strict=True)):
+                v = b.column("v")[i].values.to_numpy(zero_copy_only=False)
+                held[k, c] = held[k, c] + v if (k, c) in held else v
+        for (k, c), v in held.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([c], pa.int32()), pa.array([v], pa.list_(pa.float64()))], [key, "chunk", "v"])
+
+    rows = parts.repartition(key, "chunk").mapInArrow(add, f"{key} int, chunk int, v array<double>").toArrow().sort_by([(key, "ascending"), ("chunk", "ascending")])
+    out: dict[int, list[np.ndarray]] = {}
+    for i, k in enumerate(rows.column(key).to_pylist()):
+        out.setdefault(k, []).append(rows.column("v")[i].values.to_numpy(zero_copy_only=False))
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
+def chunked(keys: list[int], sums: list[np.ndarray], key: str) -> Iterator[pa.RecordBatch]:
+    """Rows (key, chunk, v) of one task's sums."""
+    for k, v in zip(keys, sums, strict=True):
+        for c, i in enumerate(range(0, len(v), CHUNK)):
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([c], pa.int32()), pa.array([v[i : i + CHUNK]], pa.list_(pa.float64()))], [key, "chunk", "v"])
+
+
+_PARTS = "cluster int, chunk int, v array<double>"
+
+
 def _sum_rows(parts: DataFrame, k: int, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of (cluster, gram) rows: Gram matrices (k, T, T), and counts, which are the place after them."""
-    rows = parts.select("cluster", F.posexplode("v").alias("i", "v")).groupBy("cluster", "i").agg(F.sum("v").alias("v")).collect()
+    """Sums of partial rows: Gram matrices (k, T, T), and counts, which are the places after them."""
     out = np.zeros((k, t * t + 2))
-    for r in rows:
-        out[r["cluster"], r["i"]] = r["v"]
+    for c, v in sum_arrays(parts, "cluster").items():
+        out[c] = v
     return out[:, : t * t].reshape(k, t, t), out[:, t * t :]
 
 
@@ -57,7 +90,7 @@ def _partials(k: int, centroids: np.ndarray | None, before: np.ndarray | None):
                 total[c, t * t] += own.sum()
                 total[c, t * t + 1] += changed[own].sum()
         if total is not None:
-            yield pa.record_batch([pa.array(np.arange(k, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["cluster", "v"])
+            yield from chunked(list(range(k)), list(total), "cluster")
 
     return run
 
@@ -80,7 +113,7 @@ def centroids(series: DataFrame, k: int) -> np.ndarray:
     """Spectral centroids of (x, cluster[, shift]): for each cluster the top eigenvector of the Gram matrix of its normalised, rotated members."""
     s = series if "shift" in series.columns else series.withColumn("shift", F.lit(0))
     s = s.select("x", F.col("cluster").cast("int").alias("cluster"), F.col("shift").cast("int").alias("shift"))
-    return top_eigenvectors(_sum_rows(s.mapInArrow(_partials(k, None, None), "cluster int, v array<double>"), k, _length(series))[0])
+    return top_eigenvectors(_sum_rows(s.mapInArrow(_partials(k, None, None), _PARTS), k, _length(series))[0])
 
 
 def table(spark, c: np.ndarray) -> DataFrame:
@@ -90,13 +123,21 @@ def table(spark, c: np.ndarray) -> DataFrame:
 
 
 def assign(series: DataFrame, c: np.ndarray) -> DataFrame:
-    """Adds cluster, shift, dist and dists (to every centroid), within the row; ``c`` goes along as k literal arrays."""
-    arrays = "array(" + ",".join("array(" + ",".join(repr(float(v)) + "D" for v in row) + ")" for row in c) + ")"
-    all_dists = f"transform({arrays}, c -> {S.roll_dist('c', 'x')})"
-    d = series.withColumn("_d", S.col(all_dists))
-    best = "array_min(transform(_d, (m, i) -> named_struct('d', round(m.dist, 9), 'i', i))).i"
-    d = d.withColumn("cluster", S.col(best))
-    return d.withColumns({"shift": S.col("_d[cluster].shift"), "dist": S.col("_d[cluster].dist"), "dists": S.col("transform(_d, m -> m.dist)")}).drop("_d")
+    """Adds cluster, shift, dist and dists (to every centroid); the centroids go along as one broadcast matrix."""
+    shared = series.sparkSession.sparkContext.broadcast(np.asarray(c, np.float64))
+    names = series.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cluster, shift, dist = nearest(_matrix(b.column("x")), shared.value)
+            dists = pa.ListArray.from_arrays(pa.array(np.arange(0, dist.size + 1, dist.shape[1], dtype=np.int32)), pa.array(dist.ravel()))
+            new = [pa.array(cluster.astype(np.int32)), pa.array(shift.astype(np.int32)), pa.array(dist[np.arange(len(dist)), cluster]), dists]
+            yield pa.record_batch([*[b.column(n) for n in names], *new], [*names, "cluster", "shift", "dist", "dists"])
+
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in series.schema)
+    return series.mapInArrow(run, f"{fields}, cluster int, shift int, dist double, dists array<double>")
 
 
 @dataclass
@@ -107,32 +148,53 @@ class Clustering:
     cost: float
 
 
-def cluster(series: DataFrame, k: int, init: str | DataFrame = "pmod(series_id, {k})", max_iter: int = 50) -> Clustering:
-    """Assign, rotate and update until no assignment changes or ``max_iter``; ``init``: expression of the first cluster."""
-    if max_iter < 1:
-        raise ValueError("max_iter is at least 1")
-    s = series.withColumn("cluster", F.expr(init.format(k=k)).cast("int")).withColumn("shift", F.lit(0)).persist()
-    t = _length(s)
-    c, before, n = centroids(s, k), None, 0
-    while n < max_iter:
+def _settle(s: DataFrame, k: int, t: int, max_iter: int | None) -> tuple[np.ndarray, int]:
+    """Centroids of (x, cluster, shift) after updates until no assignment changes (or centroids come back that were there before), or ``max_iter``; and the iterations."""
+    c, before, n, seen = centroids(s, k), None, 0, set()
+    while max_iter is None or n < max_iter:
         n += 1
-        gram, counts = _sum_rows(s.select("x", "cluster", "shift").mapInArrow(_partials(k, c, before), "cluster int, v array<double>"), k, t)
+        gram, counts = _sum_rows(s.select("x", "cluster", "shift").mapInArrow(_partials(k, c, before), _PARTS), k, t)
         if not counts[:, 1].sum():
             break
         before, c = c, top_eigenvectors(gram)
+        if (mark := np.round(c, 9).tobytes()) in seen:
+            break
+        seen.add(mark)
+    return c, n
+
+
+def cluster(series: DataFrame, k: int, init: str | DataFrame = "pmod(series_id, {k})", max_iter: int | None = None) -> Clustering:
+    """Assign, rotate and update until no assignment changes, or ``max_iter`` times; ``init``: expression of the first cluster."""
+    if max_iter is not None and max_iter < 1:
+        raise ValueError("max_iter is at least 1")
+    s = series.withColumn("cluster", F.expr(init.format(k=k)).cast("int")).withColumn("shift", F.lit(0)).persist()
+    c, n = _settle(s, k, _length(s), max_iter)
     out = assign(series, c)
     cost = out.agg(F.avg(F.col("dist") * F.col("dist"))).first()[0]
     s.unpersist()
     return Clustering(c, out, n, cost if cost is not None else 0.0)
 
 
-def restarts(series: DataFrame, k: int, runs: int = 10, max_iter: int = 50, seed: int = 0) -> Clustering:
-    """Of ``runs`` random starts (a hash of id and seed) the one of least cost; the first of equals."""
-    every = [cluster(series, k, f"pmod(xxhash64(series_id, {seed + r}), {{k}})", max_iter) for r in range(runs)]
+def write(result: Clustering, folder: str, digits: int = 5) -> None:
+    """The four outputs of a clustering as white-space text, each line with its id first: centroids, assignments, shifts, and distances to every centroid."""
+    numbers = lambda c: F.array_join(F.transform(c, lambda v: F.format_string(f"%.{digits}f", v)), " ")
+    a = result.assigned
+    outputs = {
+        "centroids": table(a.sparkSession, result.centroids).select("cluster", numbers("c")),
+        "assign": a.select("series_id", "cluster"), "shifts": a.select("series_id", "shift"), "dists": a.select("series_id", numbers("dists")),
+    }
+    for name, d in outputs.items():
+        d.select(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in d.columns]).alias("value")).write.text(f"{folder}/{name}")
+
+
+def restarts(series: DataFrame, k: int, runs: int = 10, max_iter: int | None = None, seed: int = 0, parallel: int = 4) -> Clustering:
+    """Of ``runs`` random starts (a hash of id and seed) the one of least cost; the first of equals. ``parallel`` starts are under way at once, as independent jobs."""
+    with ThreadPoolExecutor(parallel) as pool:
+        every = list(pool.map(lambda r: cluster(series, k, f"pmod(xxhash64(series_id, {seed + r}), {{k}})", max_iter), range(runs)))
     return min(every, key=lambda r: r.cost)
 
 
-def multiresolution(series: DataFrame, k: int, levels: int = 2, max_iter: int = 50, seed: int = 0, scale_shifts: bool = False) -> Clustering:
+def multiresolution(series: DataFrame, k: int, levels: int = 2, max_iter: int | None = None, seed: int = 0, scale_shifts: bool = False) -> Clustering:
     """Clusters the Haar averages from coarse to fine; each level starts from the assignment and rotation of the one before."""
     d, names = series.withColumn("x0", F.col("x")), ["x0"]
     for n in range(levels):
@@ -142,13 +204,9 @@ def multiresolution(series: DataFrame, k: int, levels: int = 2, max_iter: int =
     result = None
     for n, name in reversed(list(enumerate(names))):
         own = d.select("series_id", F.col(name).alias("x"), "cluster", "shift")
-        t, c, before, i = _length(own), centroids(own, k), None, 0
-        while i < max_iter:
-            i += 1
-            gram, counts = _sum_rows(own.select("x", "cluster", "shift").mapInArrow(_partials(k, c, before), "cluster int, v array<double>"), k, t)
-            if not counts[:, 1].sum():
-                break
-            before, c = c, top_eigenvectors(gram)
+        own = own.persist()
+        c, i = _settle(own, k, _length(own), max_iter)
+        own.unpersist()
         out = assign(own.select("series_id", "x"), c)
         if n:
             more = out.select("series_id", "cluster", (F.col("shift") * (2 if scale_shifts else 1)).alias("shift"))
@@ -159,16 +217,26 @@ def multiresolution(series: DataFrame, k: int, levels: int = 2, max_iter: int =
     return result
 
 
+def _packed(series: DataFrame, n: int, *columns: str) -> DataFrame:
+    """(b, s): the rows of each of ``n`` blocks, by a hash of the id."""
+    return series.groupBy(F.pmod(F.xxhash64("series_id"), F.lit(n)).cast("int").alias("b")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("s"))
+
+
+def _block_pairs(series: DataFrame, block: int, *columns: str) -> DataFrame:
+    """(i, j, s, s2) with i <= j: every two blocks of about ``block`` series meet in one row. A block is dealt to its n pairs by name; there is no join."""
+    n = max(1, -(-series.count() // block))
+    p = _packed(series, n, *columns).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    side = lambda k: F.first(F.when(F.col("b") == F.col(k), F.col("s")), ignorenulls=True)
+    met = p.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).repartition(min(n * (n + 1) // 2, 4096), "i", "j")
+    return met.groupBy("i", "j").agg(side("i").alias("s"), side("j").alias("s2")).where("s is not null and s2 is not null")
+
+
 def pair_distances(series: DataFrame, block: int = 256) -> DataFrame:
     """Rolling distances of all ordered pairs: id1, id2, dist, shift (of the second).
 
-    Series are packed into blocks and every two blocks meet once, as one row: a pair of blocks
-    gives block * block pairs by matrix products, and the lower half by symmetry.
+    Every two blocks of series meet once: block * block pairs by matrix products, and the lower
+    half by symmetry.
     """
-    n = max(1, -(-series.count() // block))
-    packed = series.groupBy(F.pmod(F.xxhash64("series_id"), F.lit(n)).alias("b")).agg(F.sort_array(F.collect_list(F.struct("series_id", "x"))).alias("s"))
-    right = packed.select(F.col("b").alias("b2"), F.col("s").alias("s2"))
-    both = packed.join(right.hint("shuffle_replicate_nl") if n > 64 else F.broadcast(right), F.col("b") <= F.col("b2")).repartition(min(n * (n + 1) // 2, 4096), "b", "b2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,24 +245,52 @@ def pair_distances(series: DataFrame, block: int = 256) -> DataFrame:
                 i, j = s.field("series_id").to_numpy(), s2.field("series_id").to_numpy()
                 d, q = rolling(_matrix(s.field("x")), _matrix(s2.field("x")))
                 t = len(s.field("x")[0])
-                diag = batch.column("b")[r] == batch.column("b2")[r]
+                diag = batch.column("i")[r] == batch.column("j")[r]
                 for a, b, dist, shift in [(i, j, d, q)] if diag else [(i, j, d, q), (j, i, d.T, -(-q.T % t if t else q.T) if t else q.T)]:
                     shift = np.where(shift == 0, 0, shift)
                     same = a[:, None] == b[None, :]
                     dist, shift = np.where(same, 0.0, dist), np.where(same, 0, shift)
                     yield pa.record_batch([pa.array(np.repeat(a, len(b))), pa.array(np.tile(b, len(a))), pa.array(dist.ravel()), pa.array(shift.ravel().astype(np.int32))], ["id1", "id2", "dist", "shift"])
 
-    return both.select("b", "b2", "s", "s2").mapInArrow(run, "id1 long, id2 long, dist double, shift int")
+    return _block_pairs(series, block, "series_id", "x").mapInArrow(run, "id1 long, id2 long, dist double, shift int")
+
+
+def pair_sums(series: DataFrame, block: int = 256) -> DataFrame:
+    """Of (series_id, x, cluster): for each series and cluster the number, sum and sum of squares of the rolling distances to the cluster's series: series_id, c1 (own), c2, n, d, dd.
+
+    The distances themselves stay in the tasks: N * k rows leave them, not N * N.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                s, s2 = batch.column("s")[r].values, batch.column("s2")[r].values
+                i, j = s.field("series_id").to_numpy(), s2.field("series_id").to_numpy()
+                ci, cj = s.field("cluster").to_numpy(), s2.field("cluster").to_numpy()
+                d, _ = rolling(_matrix(s.field("x")), _matrix(s2.field("x")))
+                d[i[:, None] == j[None, :]] = 0.0
+                for ids, own, others, m in [(i, ci, cj, d)] if batch.column("i")[r] == batch.column("j")[r] else [(i, ci, cj, d), (j, cj, ci, d.T)]:
+                    kinds, of = np.unique(others, return_inverse=True)
+                    member = np.zeros((len(others), len(kinds)))
+                    member[np.arange(len(others)), of] = 1
+                    n, total, squares = np.broadcast_to(member.sum(0), (len(ids), len(kinds))), m @ member, (m * m) @ member
+                    yield pa.record_batch(
+                        [pa.array(np.repeat(ids, len(kinds))), pa.array(np.repeat(own, len(kinds))), pa.array(np.tile(kinds, len(ids))), pa.array(n.ravel().astype(np.int64)), pa.array(total.ravel()), pa.array(squares.ravel())],
+                        ["series_id", "c1", "c2", "n", "d", "dd"],
+                    )
+
+    s = series.select("series_id", "x", F.col("cluster").cast("int").alias("cluster"))
+    parts = _block_pairs(s, block, "series_id", "x", "cluster").mapInArrow(run, "series_id long, c1 int, c2 int, n long, d double, dd double")
+    return parts.groupBy("series_id", "c1", "c2").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("dd").alias("dd"))
 
 
 def drop_distances(queries: DataFrame, series: DataFrame, block: int = 256) -> DataFrame:
     """Zero-fill distances of a query set to all series (which are shifted): id1, id2, dist; block against block."""
 
-    def packed(d: DataFrame, b: str, s: str) -> DataFrame:
-        n = max(1, -(-d.count() // block))
-        return d.groupBy(F.pmod(F.xxhash64("series_id"), F.lit(n)).alias(b)).agg(F.collect_list(F.struct("series_id", "x")).alias(s))
-
-    both = packed(queries, "b", "s").join(packed(series, "b2", "s2"), F.lit(True)).repartition(64, "b", "b2")
+    nq, ns = max(1, -(-queries.count() // block)), max(1, -(-series.count() // block))
+    left = _packed(queries, nq, "series_id", "x").withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))))
+    right = _packed(series, ns, "series_id", "x").select(F.col("b").alias("b2"), F.col("s").alias("s2"))
+    both = left.join(right, "b2").repartition(min(nq * ns, 4096), "b", "b2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

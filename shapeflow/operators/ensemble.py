@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,14 +19,34 @@ class StackingError(ValueError):
     """An unknown stacker."""
 
 
-def sample_weights(df: DataFrame, weight: str, n: float, seed: int = 0) -> DataFrame:
-    """Sampling with replacement by weight: adds times, a Poisson count of mean n * w / sum(w) drawn from a hash of the id, and repeats the rows."""
-    d = df.join(F.broadcast(df.agg(F.sum(weight).alias("_w"))), F.lit(True)).withColumn("_m", F.lit(float(n)) * F.col(weight) / F.col("_w"))
-    u = F.pmod(F.xxhash64("series_id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    # the least count whose distribution function exceeds u
-    term = "named_struct('i', acc.i + 1, 'p', acc.p * _m / (acc.i + 1), 'c', acc.c + acc.p * _m / (acc.i + 1))"
-    times = F.expr(f"aggregate(sequence(1, 60), named_struct('i', 0, 'p', exp(-_m), 'c', exp(-_m)), (acc, z) -> if(_u < acc.c, acc, {term}), acc -> acc.i)")
-    return d.withColumn("_u", u).withColumn("times", times).where("times > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("_i", "_w", "_m", "_u")
+#: Groups of rows that multinomial counts are drawn in.
+DRAW_BUCKETS = 1024
+
+
+def sample_weights(df: DataFrame, weight: str, n: int, seed: int = 0, id_col: str = "series_id") -> DataFrame:
+    """``n`` rows drawn with replacement by weight: adds times, the multinomial count of a row, and repeats the row as often.
+
+    The draws are dealt to buckets of a hash of the id by the buckets' total weights, then within
+    each bucket (in its own task) to the rows: together one multinomial draw of exactly n.
+    """
+    d = df.withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(DRAW_BUCKETS)).cast("int")).where(F.col(weight) > 0)
+    totals = {r["_b"]: float(r["w"]) for r in d.groupBy("_b").agg(F.sum(F.col(weight).cast("double")).alias("w")).collect()}  # at most DRAW_BUCKETS rows
+    if not totals:
+        return df.withColumn("times", F.lit(0)).where("false")
+    keys = sorted(totals)
+    share = np.array([totals[k] for k in keys])
+    draws = dict(zip(keys, np.random.default_rng([seed, 1]).multinomial(int(n), share / share.sum()).tolist(), strict=True))
+
+    def deal(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_id", "_w"], kind="stable")
+        w = rows["_w"].to_numpy(float)
+        times = np.random.default_rng([seed, 2, int(key[0])]).multinomial(draws[int(key[0])], w / w.sum())
+        return pd.DataFrame({"_row": rows["_row"].to_numpy(), "times": times.astype("int32")})
+
+    # equal rows of one id are told apart by their number
+    d = d.withColumn("_row", F.concat_ws(":", F.col(id_col).cast("string"), F.row_number().over(Window.partitionBy("_b", id_col).orderBy(weight)).cast("string")))
+    counts = d.select("_b", "_row", F.col(id_col).cast("string").alias("_id"), F.col(weight).cast("double").alias("_w")).groupBy("_b").applyInPandas(deal, "_row string, times int")
+    return d.join(counts.where("times > 0"), "_row").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("_i", "_row", "_b")
 
 
 def error(df: DataFrame, y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
@@ -48,18 +70,21 @@ def argmax_label(c: str = "probability"):
 
 
 class ClassBoost:
-    """Two stages: base probabilities B (array column), then a classifier on rows weighted by the base's mistakes; the two vote with their alphas."""
+    """Two stages: base probabilities B (array column), then a classifier on rows drawn by the base's mistakes (``sample_factor`` times as many as there are; None: weighted rows instead); the two vote with their alphas."""
 
-    def __init__(self, name: str = "lr", weighted_error: bool = False):
-        self.name, self.weighted_error = name, weighted_error
+    def __init__(self, name: str = "lr", weighted_error: bool = False, sample_factor: float | None = 2.5, seed: int = 0):
+        self.name, self.weighted_error, self.sample_factor, self.seed = name, weighted_error, sample_factor, seed
 
-    def fit(self, df: DataFrame, classes: int, label: str = "label", base: str = "B") -> ClassBoost:
+    def fit(self, df: DataFrame, classes: int, label: str = "label", base: str = "B", id_col: str = "series_id") -> ClassBoost:
         d = df.withColumn("_p", argmax_label(base).cast("double")).withColumn("w", F.lit(1.0))
         self.classes, self.base = classes, base
         self.base_alpha = alpha(error(d, label, "_p").first()[0], classes)
         d = reweigh(d, self.base_alpha, label, "_p")
-        est = learners.learner(self.name, label).setWeightCol("w")
-        self.model = est.fit(d)
+        est = learners.learner(self.name, label)
+        if self.sample_factor is None:
+            self.model = est.setWeightCol("w").fit(d)
+        else:
+            self.model = est.fit(sample_weights(d, "w", round(self.sample_factor * d.count()), self.seed, id_col))
         p = self.model.transform(d)
         self.class_alpha = alpha(error(p, label, "prediction", "w" if self.weighted_error else None).first()[0], classes)
         return self
@@ -71,28 +96,33 @@ class ClassBoost:
 
 
 class CoTrain:
-    """Starts from a labelled fraction; each round adds, class by class, the row that the classifier and the row that P are surest of. Later classes overwrite."""
+    """Starts from a labelled fraction; each round adds, class by class, the ``per_round`` rows that the classifier and that P are surest of, until none is left (or ``rounds``). Later classes overwrite."""
 
-    def __init__(self, name: str = "lr", label_fract: float = 0.25, rounds: int = 3, seed: int = 0):
-        self.name, self.fract, self.rounds, self.seed = name, label_fract, rounds, seed
+    def __init__(self, name: str = "lr", label_fract: float = 0.25, rounds: int | None = None, seed: int = 0, per_round: int = 1):
+        self.name, self.fract, self.rounds, self.seed, self.per_round = name, label_fract, rounds, seed, per_round
 
     def fit(self, df: DataFrame, classes: int, label: str = "label", P: str = "P", id_col: str = "series_id") -> CoTrain:
         h = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(id_col, F.lit(self.seed)))) - 1
         n = F.count(F.lit(1)).over(Window.partitionBy(label))
-        start = df.withColumn("_l", F.when((h == 0) | (h < n * self.fract), F.col(label).cast("double")))  # every class is covered
-        extra: dict[int, int] = {}
-        for _ in range(self.rounds):
+        start = df.withColumn("_l", F.when((h == 0) | (h < n * self.fract), F.col(label).cast("double"))).persist()  # every class is covered
+        extra: dict[int, float] = {}
+        done = 0
+        while True:
             known = start
-            for i, k in extra.items():
-                known = known.withColumn("_l", F.when(F.col(id_col) == i, F.lit(float(k))).otherwise(F.col("_l")))
+            if extra:
+                more = df.sparkSession.createDataFrame(list(extra.items()), f"{id_col} {df.schema[id_col].dataType.simpleString()}, _more double")
+                known = start.join(more, id_col, "left").withColumn("_l", F.coalesce("_more", "_l")).drop("_more")
             self.model = learners.learner(self.name, "_l").fit(known.where("_l is not null"))
-            if not (left := known.where("_l is null")).limit(1).count():
+            left = known.where("_l is null")
+            if done == self.rounds or left.isEmpty():
                 break
-            p = self.model.transform(left).withColumn("_c", vector_to_array("probability"))
-            best = p.agg(*[F.max_by(id_col, F.struct(F.get(c, k), -F.col(id_col))).alias(f"{c}{k}") for k in range(classes) for c in ("_c", P)]).first()
+            done += 1
+            p = self.model.transform(left).withColumn("_c", vector_to_array("probability")).select(id_col, "_c", P)
             for k in range(classes):
                 for c in ("_c", P):
-                    extra[best[f"{c}{k}"]] = k
+                    for r in p.orderBy(F.get(c, k).desc(), id_col).select(id_col).limit(self.per_round).collect():
+                        extra[r[0]] = float(k)
+        start.unpersist()
         self.P = P
         return self
 

@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def hashed(id_col: str, seed: int = 0) -> Column:
+    """A reproducible order of ids: md5 of "id:seed" as text."""
+    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")).cast("binary"))
+
+
 def kfold(df: DataFrame, k: int, seed: int = 0, id_col: str = "series_id") -> DataFrame:
-    """Adds fold: a hash of the id and the seed; sizes are equal in expectation, and no sort of the whole table is needed."""
-    return df.withColumn("fold", F.pmod(F.crc32(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")).cast("binary")), F.lit(k)).cast("int"))
+    """Adds fold: the rank by a hash of the id and the seed, modulo k, so that sizes differ by one at most.
+
+    Ranks come from 4,096 buckets of the hash, each ranked in its own task, and the buckets' sizes.
+    """
+    d = df.withColumn("_h", hashed(id_col, seed)).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))  # at most 4,096 rows
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col)) - 1
+    return d.join(F.broadcast(before), "_b").withColumn("fold", ((F.col("_before") + rank) % k).cast("int")).select(*df.columns, "fold")
 
 
 def stratified(df: DataFrame, k: int, label: str, id_col: str = "series_id") -> DataFrame:
@@ -60,6 +74,19 @@ def report(df: DataFrame, truth: str = "y", pred: str = "p") -> DataFrame:
     return own.unionByName(macro).unionByName(micro).unionByName(weighted)
 
 
+def report_by(df: DataFrame, by: str, truth: str = "y", pred: str = "p") -> DataFrame:
+    """(by, label, precision, recall, f1, support) of each class in each group; 0 / 0 is 0."""
+    side = lambda c, n: F.struct(F.col(c).cast("string").alias("label"), F.lit(n).alias("side"))
+    a = df.select(by, F.explode(F.array(side(truth, "y"), side(pred, "p"))).alias("e"), (F.col(truth) == F.col(pred)).alias("hit"))
+    count = lambda c: F.count(F.when(F.expr(c), 1)).cast("double")
+    g = a.where("e.label is not null").groupBy(by, "e.label").agg(count("e.side = 'y'").alias("support"), count("e.side = 'p'").alias("found"), count("hit and e.side = 'y'").alias("tp"))
+    ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    return g.select(
+        by, "label", ratio(F.col("tp"), F.col("found")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"),
+        ratio(2 * F.col("tp"), F.col("found") + F.col("support")).alias("f1"), F.col("support").cast("long").alias("support"),
+    )
+
+
 def t_quantile(p: float, df: int) -> float:
     """Student's t quantile by bisection on its distribution function (numerical integration)."""
     c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
@@ -76,14 +103,19 @@ def t_quantile(p: float, df: int) -> float:
     return low
 
 
+def _t_factor(level: float) -> Callable:
+    @F.pandas_udf("double")
+    def factor(n: pd.Series) -> pd.Series:
+        return n.map({m: t_quantile(0.5 + level / 2, int(m) - 1) for m in n.unique() if m > 1}).astype(float)
+
+    return factor
+
+
 def confidence(df: DataFrame, value: str, group: str, level: float = 0.95) -> DataFrame:
     """(group, mean, half): half = t * s / sqrt(n); null for a single value."""
     g = df.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("s"), F.count(value).alias("n"))
-    sizes = sorted({r["n"] for r in g.select("n").distinct().collect() if r["n"] > 1})
-    t = F.lit(None).cast("double")
-    for n in sizes:
-        t = F.when(F.col("n") == n, F.lit(t_quantile(0.5 + level / 2, n - 1))).otherwise(t)
-    return g.select(group, "mean", (t * F.col("s") / F.sqrt("n")).alias("half"), "n")
+    half = F.when(F.col("n") > 1, F.nanvl(_t_factor(level)("n"), F.lit(None).cast("double")) * F.col("s") / F.sqrt("n"))
+    return g.select(group, "mean", half.alias("half"), "n")
 
 
 def summary(df: DataFrame, value: str, group: str) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shapeflow.operators import evaluation, regression
+
 #: Penalties C of the grids (fixed values); regParam is 1 / (C * rows).
 GRID_C = [1e-4, 1e-3, 1e-2, 1e-1, 1.0, 1e2, 1e3, 1e4]
 
@@ -28,6 +30,7 @@ def learner(name: str, label: str = "label", seed: int = 0):
         "lr": lambda: LogisticRegression(labelCol=label, standardization=False, maxIter=50),
         "linear_svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=30), labelCol=label),
         "extra_trees": lambda: RandomForestClassifier(numTrees=20, impurity="gini", **forest),
+        "extra_trees_100": lambda: RandomForestClassifier(numTrees=100, impurity="entropy", **forest),
         "extra_trees_entropy": lambda: RandomForestClassifier(numTrees=30, impurity="entropy", **forest),
         "extra_trees_shallow": lambda: RandomForestClassifier(numTrees=30, impurity="entropy", maxDepth=4, **forest),
         "extra_trees_regression": lambda: RandomForestRegressor(numTrees=20, **forest),
@@ -48,18 +51,82 @@ def fourier_features(df: DataFrame, x: str, dims: int, gamma: float = 1.0, n: in
     return df.withColumn("features", array_to_vector(F.expr(wave)))
 
 
+#: Least rows of a split tried in grids (fixed values).
+GRID_SPLIT = [1, 2, 4, 8, 16, 32, 64, 128]
+#: gamma of the grids of RBF machines (fixed values).
+GRID_GAMMA = [1e-3, 1e-2, 1e-1, 1.0, 1e2, 1e3]
+
+
 def grid_search(df: DataFrame, name: str = "lr", label: str = "label", folds: int = 3, values: list[float] | None = None, seed: int = 0):
-    """Cross-validated over the penalties, refitted on all rows: the fitted model and (value, metric) pairs."""
+    """Cross-validated over the learner's grid, refitted on all rows: the fitted model and the mean metric of each value.
+
+    Penalties for linear learners, least rows of a split for trees; ``values``: instead of the whole grid.
+    """
     est, n = learner(name, label, seed), df.count()
-    grid = ParamGridBuilder()
     regression = "regression" in name
-    if name in ("lr", "linear_regression"):
-        grid = grid.addGrid(est.regParam, [1 / (c * max(n, 1)) for c in (values or GRID_C)])
+    penalties = [1 / (c * max(n, 1)) for c in (values or GRID_C)]
+    if name.startswith("extra_trees"):
+        grid = [{est.minInstancesPerNode: int(v)} for v in (values or GRID_SPLIT)]
+    elif name == "linear_svm":
+        grid = [{est.classifier: LinearSVC(maxIter=30, regParam=v)} for v in penalties]
+    else:
+        grid = [{est.regParam: v} for v in penalties]
     judge = RegressionEvaluator(labelCol=label, metricName="rmse") if regression else MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
-    fitted = CrossValidator(estimator=est, estimatorParamMaps=grid.build(), evaluator=judge, numFolds=folds, parallelism=4, seed=seed).fit(df)
+    fitted = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, parallelism=4, seed=seed).fit(df)
     return fitted.bestModel, fitted.avgMetrics
 
 
+def rbf_grid_search(df: DataFrame, x: str, dims: int, label: str = "label", regression: bool = False, gammas: list[float] | None = None, penalties: list[float] | None = None, folds: int = 3, seed: int = 0):
+    """RBF machine over gamma and C: (model, gamma, table of (gamma, C, metric)); the features of each gamma are made once."""
+    name, rows, best = "huber_regression" if regression else "linear_svm", [], None
+    for g in gammas or GRID_GAMMA:
+        d = fourier_features(df, x, dims, g, seed=seed).select("features", label).persist()
+        model, scores = grid_search(d, name, label, folds, penalties, seed)
+        rows += [(g, c, s) for c, s in zip(penalties or GRID_C, scores, strict=True)]
+        top = min(scores) if regression else -max(scores)
+        if best is None or top < best[0]:
+            best = (top, model, g)
+        d.unpersist()
+    return best[1], best[2], rows
+
+
+def compare(df: DataFrame, names: list[str], label: str = "label", fold: str = "fold") -> DataFrame:
+    """(learner, mean, half, n): weighted F1 of each learner over the folds, with confidence intervals."""
+    spark, rows = df.sparkSession, []
+    for name in names:
+        p = cross_val(df, name, label, fold)
+        by = evaluation.report_by(p.select(fold, F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("p")), fold)
+        rows.append(by.groupBy(fold).agg(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1")).select(F.lit(name).alias("learner"), "f1"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return evaluation.confidence(out, "f1", "learner")
+
+
+def experiment(df: DataFrame, label: str, y: str, fold: str = "fold", classifier: str = "lr", regressor: str = "linear_regression", values: list[float] | None = None, test_folds: list[int] | None = None) -> DataFrame:
+    """Classification and regression on the same folds, both by grid search: (fold, metric, class, v).
+
+    Per fold: precision, recall and f1 of each class, micro and macro F1, R^2, MSE and mean
+    relative squared error. ``test_folds``: those that are tested; one of two gives a holdout.
+    """
+    out = None
+    for k in test_folds if test_folds is not None else sorted(r[0] for r in df.select(fold).distinct().collect()):
+        train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
+        clf, rgr = grid_search(train, classifier, label, values=values)[0], grid_search(train, regressor, y, values=values)[0]
+        rep = evaluation.report(clf.transform(test).select(F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("p")))
+        parts = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col("label").alias("class"), F.col(m).alias("v")) for m in ("precision", "recall", "f1")]))
+        err = regression.errors(rgr.transform(test).select(F.col(y).alias("y"), F.col("prediction").alias("p")))
+        errs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(None).cast("string").alias("class"), F.col(m).alias("v")) for m in ("r2", "mse", "mrse")]))
+        one = rep.select(parts.alias("m")).unionByName(err.select(errs.alias("m"))).select(F.lit(k).alias("fold"), "m.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def experiment_summary(results: DataFrame) -> DataFrame:
+    """(metric, class, mean, half, n) over the folds."""
+    return evaluation.confidence(results.withColumn("g", F.struct("metric", "class")), "v", "g").select("g.metric", "g.class", "mean", "half", "n")
+
+
 def cross_val(df: DataFrame, name: str, label: str = "label", fold: str = "fold") -> DataFrame:
     """Out-of-fold predictions: one fit a fold."""
     out = None
@@ -77,14 +144,25 @@ def importances(df: DataFrame, features: list[str], label: str = "label") -> Dat
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+#: Queries of :func:`knn` that are broadcast at most.
+QUERY_ROWS = 20_000
+
+
 def knn(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id") -> DataFrame:
     """Exact k nearest neighbours of a stated query set (id, x) among (id, x, label): (id, label), the mode of the k nearest, least label of equals.
 
-    The query set is broadcast and met by every row of ``train``; each task keeps k candidates a
-    query before the shuffle.
+    A query set of at most QUERY_ROWS is broadcast; a larger one meets ``train`` in blocks of that
+    many, each a shuffled join. Each task keeps k candidates a query before the next shuffle.
     """
-    q = F.broadcast(queries.select(F.col(id_col).alias("qid"), F.col("x").alias("q")))
-    d = train.join(q, F.col(id_col) != F.col("qid")).select("qid", F.col(id_col).alias("nid"), "label", F.round(F.expr("aggregate(zip_with(x, q, (a, b) -> (a - b) * (a - b)), 0D, (s, v) -> s + v)"), 9).alias("d"))
+    q = queries.select(F.col(id_col).alias("qid"), F.col("x").alias("q"))
+    if (n := q.count()) <= QUERY_ROWS:
+        both = train.join(F.broadcast(q), F.col(id_col) != F.col("qid"))
+    else:
+        blocks = -(-n // QUERY_ROWS)
+        spread = train.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_s", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int"))
+        own = q.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        both = spread.join(own, ["_b", "_s"]).where(F.col(id_col) != F.col("qid"))
+    d = both.select("qid", F.col(id_col).alias("nid"), "label", F.round(F.expr("aggregate(zip_with(x, q, (a, b) -> (a - b) * (a - b)), 0D, (s, v) -> s + v)"), 9).alias("d"))
     n = d.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "nid"))).where(F.col("r") <= k)
     votes = n.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("v"))
     return votes.groupBy("qid").agg((-F.max(F.struct("v", (-F.col("label")).alias("l")))["l"]).alias("label")).withColumnRenamed("qid", id_col)

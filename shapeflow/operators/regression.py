@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapeflow.operators.clustering import _matrix
+from shapeflow.operators import evaluation
+from shapeflow.operators.clustering import _matrix, chunked, sum_arrays
 
 
 def errors(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -103,15 +104,10 @@ def prefix_errors(series: DataFrame, group: str | None = None) -> DataFrame:
                 z = np.hstack([x / x.sum(1, keepdims=True), np.ones((len(x), 1))])
                 for k in np.unique(g):
                     held[int(k)] = held.get(int(k), 0) + z[g == k].T @ z[g == k]
-        for k, m in held.items():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([m.ravel()], pa.list_(pa.float64()))], ["g", "m"])
+        yield from chunked(list(held), [m.ravel() for m in held.values()], "g")
 
-    rows = s.mapInArrow(gram, "g int, m array<double>").select("g", F.posexplode("m").alias("i", "v")).groupBy("g", "i").agg(F.sum("v").alias("v")).collect()
-    total: dict[int, np.ndarray] = {}
-    for r in rows:
-        total.setdefault(r["g"], np.zeros((t + 1) ** 2))[r["i"]] = r["v"]
     models = {}
-    for k, m in total.items():
+    for k, m in sum_arrays(s.mapInArrow(gram, "g int, chunk int, v array<double>"), "g").items():
         m = m.reshape(t + 1, t + 1)
         models[k] = [(inv, inv @ m[:n, t]) for n in range(1, t + 1) for inv in [np.linalg.pinv(m[:n, :n], hermitian=True)]]
 
@@ -131,3 +127,12 @@ def prefix_errors(series: DataFrame, group: str | None = None) -> DataFrame:
                     yield pa.record_batch([pa.array(ids[own]), pa.array(np.full(own.sum(), n, np.int32)), pa.array((x[own, :n] @ coef)), pa.array(loo)], ["series_id", "tr", "p", "loo"])
 
     return s.mapInArrow(judge, "series_id long, tr int, p double, loo double")
+
+
+def prefix_report(series: DataFrame, cls: str, best_by: str) -> DataFrame:
+    """(model, class, mean, half, n): leave-one-out errors at each series' own reference day (tr = ``best_by``), of the model of all series and of the models of the classes; for the latter also class by class."""
+    own = series.select("series_id", F.col(cls).cast("int").alias("class"), F.col(best_by).cast("int").alias("tr"))
+    of = lambda group: prefix_errors(series, group).join(own, ["series_id", "tr"])
+    every, by = of(None).select(F.lit("global").alias("model"), F.lit(None).cast("int").alias("class"), "loo"), of(cls)
+    rows = every.unionByName(by.select(F.lit("class").alias("model"), F.lit(None).cast("int").alias("class"), "loo")).unionByName(by.select(F.lit("class").alias("model"), "class", "loo"))
+    return evaluation.confidence(rows.withColumn("g", F.struct("model", "class")), "loo", "g").select("g.model", "g.class", "mean", "half", "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shapeflow.operators.evaluation import hashed
+
 #: Category names and their abbreviations: fixed values of the data format.
 CATEGORIES = {
     "Autos&amp;Vehicles": "Vehi.",
@@ -64,20 +66,50 @@ def top_labels(shares: DataFrame, cls: str, label: str, k: int = 4) -> DataFrame
     return shares.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def unpivot_share(df: DataFrame, cls: str, columns: list[str], total: str) -> DataFrame:
-    """Share of each column's sum in the sum of ``total`` by class; only positive values count."""
-    stack = ", ".join(f"'{c}', `{c}`" for c in columns)
+def unpivot_share(df: DataFrame, cls: str, columns: list[str], total: str, names: dict[str, str] | None = None) -> DataFrame:
+    """Share of each column's sum in the sum of ``total`` by class; only positive values count. ``names``: labels for columns, such as REFERRERS."""
+    stack = ", ".join(f"'{(names or {}).get(c, c)}', `{c}`" for c in columns)
     d = df.select(cls, F.expr(f"stack({len(columns)}, {stack}) as (label, v)")).groupBy(cls, "label").agg(F.sum(F.when(F.col("v") > 0, F.col("v"))).alias("v"))
     t = df.groupBy(cls).agg(F.sum(total).alias("t"))
     return d.join(t, cls).select(cls, "label", F.try_divide("v", "t").alias("share")).where("share is not null")
 
 
-def one_hot(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
-    """A 0/1 column for every value, in sorted order."""
-    values = sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
+#: Values that may become columns, at most.
+MOST_COLUMNS = 1_000
+
+
+def one_hot(df: DataFrame, column: str, prefix: str = "", values: list[str] | None = None) -> DataFrame:
+    """A 0/1 column for every value, in sorted order. ``values``: the known ones; else they are looked up, MOST_COLUMNS at most."""
+    if values is None:
+        found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()]
+        if len(found) > MOST_COLUMNS:
+            raise ValueError(f"{column} has more than {MOST_COLUMNS} values")
+        values = sorted(found)
     return df.select("*", *[F.when(F.col(column) == v, 1).otherwise(0).alias(f"{prefix}{v}") for v in values])
 
 
+def category_columns(df: DataFrame, column: str, prefix: str = "") -> tuple[DataFrame, list[str]]:
+    """A category by the built-in table as 0/1 columns in the order of the sorted abbreviations, and their names; an unknown category is 0 throughout."""
+    values = sorted(set(CATEGORIES.values()))
+    return one_hot(translate(df, column), column, prefix, values).drop(column), [f"{prefix}{v}" for v in values]
+
+
+def assemble(tables: list[tuple[DataFrame, str]], id_col: str = "series_id", keep: dict[str, list[str]] | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """One feature table of several (table, name), joined by id, and the place of each column. ``keep``: the columns wanted of a table by its name; else all."""
+    out, places = None, {}
+    for df, name in tables:
+        own = [c for c in df.columns if c != id_col and (not keep or name not in keep or c in keep[name])]
+        out = df.select(id_col, *own) if out is None else out.join(df.select(id_col, *own), id_col)
+        places |= {c: len(places) + i for i, c in enumerate(own)}
+    return out, places
+
+
+def trend_table(series: DataFrame, clusters: DataFrame, features: DataFrame) -> DataFrame:
+    """Features with the series' cluster as TREND and its total as FINAL_VIEWS."""
+    total = series.select("series_id", F.expr("aggregate(x, 0D, (a, v) -> a + v)").alias("FINAL_VIEWS"))
+    return features.join(clusters.select("series_id", F.col("cluster").alias("TREND")), "series_id").join(total, "series_id")
+
+
 def rollup_means(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """Means by group and in total (group null)."""
     return df.rollup(by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
@@ -104,11 +136,11 @@ def time_to(df: DataFrame, cls: str, start: str, ends: list[str]) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, seed: int = 0, by: str | None = None, id_col: str = "series_id") -> DataFrame:
-    """n rows (of each group) with the least hash of the id: the same at every run."""
-    h = F.xxhash64(id_col, F.lit(seed))
+    """n rows (of each group) with the least hash of the id: the same at every run. A task keeps n rows of each group before anything is shuffled."""
+    d = df.withColumn("_h", hashed(id_col, seed))
     if by is None:
-        return df.orderBy(h, id_col).limit(n)
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(h, id_col))).where(F.col("_r") <= n).drop("_r")
+        return d.orderBy("_h", id_col).limit(n).drop("_h")
+    return d.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_h", id_col))).where(F.col("_r") <= n).drop("_r", "_h")
 
 
 def dense_labels(df: DataFrame, column: str, out: str = "index") -> DataFrame:

@@ -35,20 +35,27 @@ def fit(refs: DataFrame, label: str = "label") -> tuple[list, np.ndarray, np.nda
 def distances(series: DataFrame, refs: DataFrame, num_pts: int) -> DataFrame:
     """(series_id, ref_id, dist) of prefixes to references (ref_id, x), as built-in expressions."""
     d = "array_min(transform(sequence(1, size(r) - size(s) + 1), i -> " + S.roll_dist("slice(r, i, size(s))", "s") + ".dist))"
-    both = series.select("series_id", F.slice("x", 1, num_pts).alias("s")).join(F.broadcast(refs.limit(MOST_REFERENCES).select("ref_id", F.col("x").alias("r"))), F.lit(True))
+    own, r = series.select("series_id", F.slice("x", 1, num_pts).alias("s")), refs.select("ref_id", F.col("x").alias("r"))
+    if (n := refs.count()) <= MOST_REFERENCES:
+        both = own.join(F.broadcast(r), F.lit(True))
+    else:  # references in blocks of about that many; every series meets each block
+        blocks = -(-n // MOST_REFERENCES)
+        both = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(r.withColumn("b", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int")), "b")
     return both.select("series_id", "ref_id", F.expr(f"if(size(s) > size(r), 1D, least(1D, {d}))").alias("dist"))
 
 
 def curves(series: DataFrame, model: tuple[list, np.ndarray, np.ndarray], num_pts: list[int], gamma: float = 1.0) -> DataFrame:
     """(series_id, num_pts, label, score, p) for every label and number of points, in one pass."""
     labels, index, refs = model
+    rows = max(1, min(10_000, (1 << 24) // max(refs.size, 1)))  # distances of a slice to all windows stay within 16M numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, ids = _matrix(batch.column("x")), batch.column("series_id").to_numpy()
-            for n in num_pts:
+            for at, n in [(at, n) for at in range(0, batch.num_rows, rows) for n in num_pts]:
+                part = batch.slice(at, rows)
+                x, ids = _matrix(part.column("x")), part.column("series_id").to_numpy()
                 e = np.exp(-gamma * to_references(x[:, :n], refs))
                 score = np.stack([e[:, index == k].sum(1) for k in range(len(labels))], 1)
                 p = score / score.sum(1, keepdims=True)
@@ -61,27 +68,35 @@ def curves(series: DataFrame, model: tuple[list, np.ndarray, np.ndarray], num_pt
     return series.select("series_id", "x").mapInArrow(run, "series_id long, num_pts int, label int, score double, p double")
 
 
-def scores_against(series: DataFrame, refs: DataFrame, num_pts: int, gamma: float = 1.0, block: int = 128) -> DataFrame:
-    """(series_id, label, score) with all rows of ``refs`` (label, x) as references, block against block."""
-    nr = max(1, -(-refs.count() // block))
-    r = refs.withColumn("rb", F.pmod(F.xxhash64("x"), F.lit(nr))).groupBy("rb").agg(F.collect_list(F.struct("label", "x")).alias("refs"))
-    ns = max(1, -(-series.count() // block))
-    s = series.withColumn("sb", F.pmod(F.xxhash64("series_id"), F.lit(ns))).groupBy("sb").agg(F.collect_list(F.struct("series_id", "x")).alias("own"))
-    both = s.join(r, F.lit(True)).repartition(min(nr * ns, 4096), "sb", "rb")
+def scores_against(series: DataFrame, refs: DataFrame, num_pts: int | list[int], gamma: float = 1.0, block: int = 128) -> DataFrame:
+    """(series_id, num_pts, label, score) with all rows of ``refs`` (ref_id, label, x) as references, block against block, for one or several numbers of points."""
+    points = [num_pts] if isinstance(num_pts, int) else list(num_pts)
+    nr, ns = max(1, -(-refs.count() // block)), max(1, -(-series.count() // block))
+    r = refs.withColumn("rb", F.pmod(F.xxhash64("ref_id"), F.lit(nr)).cast("int")).groupBy("rb").agg(F.collect_list(F.struct("label", "x")).alias("refs"))
+    s = series.withColumn("sb", F.pmod(F.xxhash64("series_id"), F.lit(ns)).cast("int")).groupBy("sb").agg(F.collect_list(F.struct("series_id", "x")).alias("own"))
+    both = s.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).join(r, "rb").withColumn("n", F.explode(F.array(*[F.lit(n) for n in points])))
+    both = both.repartition(min(nr * ns * len(points), 4096), "sb", "rb", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own, ref = batch.column("own")[i].values, batch.column("refs")[i].values
+                own, ref, n = batch.column("own")[i].values, batch.column("refs")[i].values, batch.column("n")[i].as_py()
                 labels = ref.field("label").to_numpy()
-                e = np.exp(-gamma * to_references(_matrix(own.field("x"))[:, :num_pts], _matrix(ref.field("x"))))
+                e = np.exp(-gamma * to_references(_matrix(own.field("x"))[:, :n], _matrix(ref.field("x"))))
                 kinds = np.unique(labels)
                 part = np.stack([e[:, labels == k].sum(1) for k in kinds], 1)
                 ids = own.field("series_id").to_numpy()
-                yield pa.record_batch([pa.array(np.repeat(ids, len(kinds))), pa.array(np.tile(kinds, len(ids)).astype(np.int32)), pa.array(part.ravel())], ["series_id", "label", "score"])
+                cols = [np.repeat(ids, len(kinds)), np.full(part.size, n, np.int32), np.tile(kinds, len(ids)).astype(np.int32), part.ravel()]
+                yield pa.record_batch([pa.array(c) for c in cols], ["series_id", "num_pts", "label", "score"])
 
-    parts = both.select("own", "refs").mapInArrow(run, "series_id long, label int, score double")
-    return parts.groupBy("series_id", "label").agg(F.sum("score").alias("score"))
+    parts = both.select("own", "refs", "n").mapInArrow(run, "series_id long, num_pts int, label int, score double")
+    return parts.groupBy("series_id", "num_pts", "label").agg(F.sum("score").alias("score"))
+
+
+def curves_against(series: DataFrame, refs: DataFrame, num_pts: list[int], gamma: float = 1.0, block: int = 128) -> DataFrame:
+    """As :func:`curves`, with any number of references."""
+    s = scores_against(series, refs, num_pts, gamma, block)
+    return s.withColumn("p", F.col("score") / F.sum("score").over(Window.partitionBy("series_id", "num_pts")))
 
 
 def predict(scores: DataFrame, by: list[str] | None = None) -> DataFrame:

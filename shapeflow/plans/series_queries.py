@@ -83,16 +83,16 @@ def haar_pyramid(spark, d):
 
 # ---- pairs ----------------------------------------------------------------------------------
 
-_TEN = "select series_id, x from user_hour where series_id % 10 = 0"
+_QUERIES = "select series_id, x from user_hour where series_id % 20 = 0"
 
 
 def _some_pairs(spark, d):
-    """Every series against the series whose ids end in 0, a stated query set."""
+    """A stated query set, every series whose id is divisible by 20, against all series."""
     u = src.user_hour(spark, d)
-    return u.where("series_id % 10 = 0").select(F.col("series_id").alias("id1"), F.col("x").alias("a")).join(u.select(F.col("series_id").alias("id2"), F.col("x").alias("b")), F.lit(True))
+    return u.where("series_id % 20 = 0").select(F.col("series_id").alias("id1"), F.col("x").alias("a")).join(u.select(F.col("series_id").alias("id2"), F.col("x").alias("b")), F.lit(True))
 
 
-_PAIRS = f"with {Q.USER_HOUR}, p as (select a.series_id as id1, b.series_id as id2, a.x as a, b.x as b from ({_TEN}) a, user_hour b)"
+_PAIRS = f"with {Q.USER_HOUR}, p as (select a.series_id as id1, b.series_id as id2, a.x as a, b.x as b from ({_QUERIES}) a, user_hour b)"
 query("inner_prod", f"{_PAIRS} select id1, id2, list_dot_product(a, b) as v from p")(lambda s, d: _some_pairs(s, d).select("id1", "id2", S.col(S.dot("a", "b")).alias("v")))
 
 
@@ -112,10 +112,10 @@ query("dist_roll_struct", f"{_PAIRS} select id1, id2, round({Q.roll_dist('a', 'b
 _DROP_GAIN = """list_max(list_transform(range(-23, 24), lambda q: case when q >= 0 then coalesce(pow(list_dot_product(list_slice(a, q + 1, 24), list_slice(b, 1, 24 - q)), 2) / nullif(list_dot_product(list_slice(b, 1, 24 - q), list_slice(b, 1, 24 - q)), 0), 0)
  else coalesce(pow(list_dot_product(list_slice(a, 1, 24 + q), list_slice(b, 1 - q, 24)), 2) / nullif(list_dot_product(list_slice(b, 1 - q, 24), list_slice(b, 1 - q, 24)), 0), 0) end))"""
 query("dist_drop_pairs", f"{_PAIRS} select id1, id2, round(sqrt(greatest(0.0, 1 - {_DROP_GAIN} / list_dot_product(a, a))), 6) + 0.0 as dist from p")(
-    lambda s, d: clustering.drop_distances((u := src.user_hour(s, d)).where("series_id % 10 = 0"), u).select("id1", "id2", _r("dist", "dist"))
+    lambda s, d: clustering.drop_distances((u := src.user_hour(s, d)).where("series_id % 20 = 0"), u).select("id1", "id2", _r("dist", "dist"))
 )
-query("dist_drop_expression", f"{_PAIRS} select id1, id2, round(sqrt(greatest(0.0, 1 - {_DROP_GAIN} / list_dot_product(a, a))), 6) + 0.0 as dist from p where id1 = 10")(
-    lambda s, d: _some_pairs(s, d).where("id1 = 10").select("id1", "id2", _r(S.drop_dist("a", "b"), "dist"))
+query("dist_drop_expression", f"{_PAIRS} select id1, id2, round(sqrt(greatest(0.0, 1 - {_DROP_GAIN} / list_dot_product(a, a))), 6) + 0.0 as dist from p")(
+    lambda s, d: _some_pairs(s, d).select("id1", "id2", _r(S.drop_dist("a", "b"), "dist"))
 )
 
 
@@ -126,10 +126,7 @@ def dist_roll_pairs(spark, d):
 
 @query("dist_roll_shift", f"with {Q.USER_HOUR} select a.series_id as id1, b.series_id as id2, case when a.series_id = b.series_id then 0 else (list_position(l, list_max(l)) - 24)::int end as shift from (select a.series_id, b.series_id as other, list_transform(range(-23, 1), lambda q: pow(list_dot_product(a.x, list_slice(b.x || b.x, 1 - q, 24 - q)), 2)) as l from user_hour a, user_hour b where a.series_id <= b.series_id) a, lateral (select other as series_id) b")
 def dist_roll_shift(spark, d):
-    u = src.user_hour(spark, d)
-    a = u.select(F.col("series_id").alias("id1"), F.col("x").alias("a"))
-    b = u.select(F.col("series_id").alias("id2"), F.col("x").alias("b"))
-    return a.join(b, F.expr("id1 <= id2")).select("id1", "id2", F.when(F.expr("id1 = id2"), F.lit(0)).otherwise(S.col(S.roll_dist("a", "b") + ".shift")).alias("shift"))
+    return clustering.pair_distances(src.user_hour(spark, d)).where("id1 <= id2").select("id1", "id2", "shift")
 
 
 # ---- clusters -------------------------------------------------------------------------------
@@ -191,9 +188,30 @@ def cluster_converged(spark, d):
     return r.assigned.select("series_id", "cluster", "shift", "dist")
 
 
+@query("cluster_outputs")
+def cluster_outputs(spark, d):
+    """The four outputs of a converged clustering as rows: centroids, assignments, shifts and distances to every centroid."""
+    r = clustering.cluster(src.user_hour(spark, d), K)
+    row = lambda what, i, j, v: F.struct(F.lit(what).alias("output"), F.col(i).cast("long").alias("row"), j.cast("int").alias("place"), v.cast("double").alias("v"))
+    c = clustering.table(spark, r.centroids).select("cluster", F.posexplode("c").alias("j", "v")).select(row("centroids", "cluster", F.col("j"), F.col("v")).alias("o"))
+    a = r.assigned.select(F.explode(F.array(row("assign", "series_id", F.lit(0), F.col("cluster")), row("shifts", "series_id", F.lit(0), F.col("shift")))).alias("o"))
+    e = r.assigned.select("series_id", F.posexplode("dists").alias("j", "v")).select(row("dists", "series_id", F.col("j"), F.col("v")).alias("o"))
+    return c.unionByName(a).unionByName(e).select("o.*")
+
+
+_MEMBERS = f"with recursive {_INIT}, {_nearest('n', 'c0', 'a')} select series_id, cluster, {Q.roll('x', 'shift')} as x from a"
+
+
+@query("cluster_members", _MEMBERS, "x")
+def cluster_members(spark, d):
+    """What a plot of a cluster's members shows: each member rotated onto its centroid."""
+    a = clustering.assign(src.user_hour(spark, d), clustering.centroids(_start(spark, d), K))
+    return a.select("series_id", "cluster", S.col(S.roll("x", "shift")).alias("x"))
+
+
 @query("cluster_restarts")
 def cluster_restarts(spark, d):
-    return clustering.restarts(src.user_hour(spark, d), K, runs=3).assigned.select("series_id", "cluster", "dist")
+    return clustering.restarts(src.user_hour(spark, d), K, runs=10).assigned.select("series_id", "cluster", "dist")
 
 
 @query("cluster_multires")
@@ -208,7 +226,7 @@ _SPREAD = f"{_ALL}, q as (select avg(dist) filter (c1 = c2) as intra_mean, stdde
 
 
 def _spread(spark, d):
-    return quality.spread(clustering.pair_distances(src.user_hour(spark, d)), _start(spark, d).select("series_id", "cluster"))
+    return quality.spread(clustering.pair_sums(_start(spark, d)))
 
 
 query("avg_intra", f"{_SPREAD} select round(intra_mean, 6) as intra_mean, round(intra_std, 6) as intra_std from q")(lambda s, d: _spread(s, d).select(_r("intra_mean", "intra_mean"), _r("intra_std", "intra_std")))
@@ -217,5 +235,5 @@ query("beta_cv", f"{_SPREAD} select round((inter_std / inter_mean) / (intra_std
 query(
     "silhouette",
     f"{_ALL}, m as (select id1, c1, c2, avg(dist) as d from p group by all), s as (select id1, min(d) filter (c1 = c2) as a, min(d) filter (c1 <> c2) as b from m group by 1) select round(avg((b - a) / greatest(a, b)), 6) as silhouette from s",
-)(lambda s, d: quality.silhouette(clustering.pair_distances(src.user_hour(s, d)), _start(s, d).select("series_id", "cluster")).select(_r("silhouette", "silhouette")))
-query("quality_sweep")(lambda s, d: quality.sweep(src.user_hour(s, d), [2, 3, 4]))
+)(lambda s, d: quality.silhouette(clustering.pair_sums(_start(s, d))).select(_r("silhouette", "silhouette")))
+query("quality_sweep")(lambda s, d: quality.sweep(src.user_hour(s, d)))

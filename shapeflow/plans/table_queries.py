@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from shapeflow.functions import series as S
@@ -73,21 +73,32 @@ def prefix_regression(s, d):
     return evaluation.confidence(e, "loo", "tr")
 
 
-class _ByRule:
-    """A fixed classifier for the routed regression: the class column itself."""
+@query("prefix_report")
+def prefix_report(s, d):
+    """Errors at the series' own reference days, by the model of all series and by those of the classes."""
+    x = src.user_day(s, d).withColumn("x", F.transform("x", lambda v: v + 0.0001)).withColumn("cls", F.expr("cast(series_id % 3 as int)"))
+    return regression.prefix_report(x.withColumn("best_by", F.expr("cast(series_id % 30 + 1 as int)")), "cls", "best_by")
+
+
+class _Threshold:
+    """A classifier fitted by least squares: label 1 where a + b f is 0.5 or more."""
 
     def fit(self, df, features, label):
-        self.label = label
+        d = df.withColumn("_one", F.lit(1.0))
+        g, b, _ = regression.normal_equations(d, ["_one", features[0]], label)[0]
+        self.coef, self.feature = regression.solve(g, b), features[0]
         return self
 
     def transform(self, df):
-        return df.withColumn("prediction", F.col(self.label))
+        return df.withColumn("prediction", (F.lit(float(self.coef[0])) + F.col(self.feature) * float(self.coef[1]) >= 0.5).cast("int"))
 
 
-@query("multiclass_regression", f"{_T}, m as (select cls, {_G} from t where y <> 0 group by 1), c as (select cls, (gg * fy - fg * gy) / (ff * gg - fg * fg) as a, (ff * gy - fg * fy) / (ff * gg - fg * fg) as b from m) select series_id, cls as prediction, round(a * f + b * g, 5) + 0.0 as p from t join c using (cls)")
+@query("multiclass_regression", f"""{_T}, w as (select *, (y > 60)::int as big from t), k as (select regr_slope(big, f) as b, regr_intercept(big, f) as a from w), m as (select big, {_G} from w where y <> 0 group by 1),
+c as (select big, (gg * fy - fg * gy) / (ff * gg - fg * fg) as a, (ff * gy - fg * fy) / (ff * gg - fg * fg) as b from m), r as (select w.*, (k.a + k.b * f >= 0.5)::int as prediction from w, k)
+select series_id, prediction, round(coalesce(c.a * f + c.b * g, 0), 4) + 0.0 as p from r left join c on c.big = r.prediction""")
 def multiclass_regression(s, d):
-    t = _totals(s, d).drop("p")
-    return regression.multiclass_predict(t, ["f", "g"], regression.multiclass(t, ["f", "g"], "cls", "y", _ByRule()), True).select("series_id", "prediction", _r("p", digits=5))
+    t = _totals(s, d).drop("p").withColumn("big", F.expr("cast(y > 60 as int)"))
+    return regression.multiclass_predict(t, ["f", "g"], regression.multiclass(t, ["f", "g"], "big", "y", _Threshold()), True).select("series_id", "prediction", _r("p", digits=4))
 
 
 # ---- evaluation -----------------------------------------------------------------------------
@@ -110,7 +121,7 @@ union all select 'weighted', sum(precision * support) / sum(support), sum(recall
 union all select 'micro', sum(tp) / sum(found), sum(tp) / sum(support), 2.0 * sum(tp) / (sum(found) + sum(support)), sum(support) from c)"""
 query("prf_report", f"{_PRF} select label, {_rr('precision', 'recall', 'f1')}, support::bigint as support from o")(lambda s, d: evaluation.report(_predicted(s, d)).select("label", _r("precision"), _r("recall"), _r("f1"), "support"))
 query("stratified_kfold", f"{_T} select series_id, ((row_number() over (partition by cls order by series_id) - 1) % 5)::int as fold from t")(lambda s, d: evaluation.stratified(_totals(s, d), 5, "cls").select("series_id", "fold"))
-query("kfold_masks")(lambda s, d: evaluation.kfold(_totals(s, d), 5).select("series_id", "fold"))
+query("kfold_masks", f"{_T} select series_id, ((row_number() over (order by md5(series_id::varchar || ':0'), series_id) - 1) % 5)::int as fold from t")(lambda s, d: evaluation.kfold(_totals(s, d), 5).select("series_id", "fold"))
 query("standardize_pop", f"{_T} select series_id, round((f - avg(f) over ()) / stddev_pop(f) over (), 6) + 0.0 as f, round((g - avg(g) over ()) / stddev_pop(g) over (), 6) + 0.0 as g from t")(
     lambda s, d: evaluation.standardise(_totals(s, d).select("series_id", "f", "g"), ["f", "g"]).select("series_id", _r("f"), _r("g"))
 )
@@ -118,8 +129,12 @@ query("chrono_holdout", "select o_orderkey, row_number() over (order by o_orderd
     lambda s, d: evaluation.chronological(src.read(s, d, "orders"), "o_orderdate", 500, "o_orderkey").select("o_orderkey", "train")
 )
 query("mean_confidence", f"{_P} select fold, round(avg(p), 6) as mean, count(*) as n from q group by 1")(lambda s, d: evaluation.confidence(_predicted(s, d), "p", "fold").select("fold", _r("mean"), "n"))
-query("confidence_halfwidth")(lambda s, d: evaluation.confidence(_predicted(s, d), "p", "fold"))
-query("clf_summary")(lambda s, d: evaluation.summary(_predicted(s, d), "p", "fold"))
+#: Quantiles .975 of Student's t for the group sizes of the test tables (3, 30 and 300 rows): fixed values of the published tables.
+_HALF = "case count(*) when 3 then 4.302652729911275 when 30 then 2.045229642132703 when 300 then 1.967929669065420 end * stddev_samp(p) / sqrt(count(*))"
+query("confidence_halfwidth", f"{_P} select fold, round(avg(p), 6) + 0.0 as mean, round({_HALF}, 5) + 0.0 as half, count(*) as n from q group by 1")(
+    lambda s, d: evaluation.confidence(_predicted(s, d), "p", "fold").select("fold", _r("mean"), _r("half", digits=5), "n")
+)
+query("clf_summary", f"{_P} select fold, printf('%.4f +- %.4f', avg(p), {_HALF}) as text from q group by 1")(lambda s, d: evaluation.summary(_predicted(s, d), "p", "fold"))
 query("mquantiles", f"""{_T}, v as (select cls, list(y order by y) as a from t group by 1)
 select cls, {', '.join(f"round((1 - (len(a) * {p} + {0.4 + 0.2 * p} - floor(len(a) * {p} + {0.4 + 0.2 * p}))) * a[floor(len(a) * {p} + {0.4 + 0.2 * p})::int] + (len(a) * {p} + {0.4 + 0.2 * p} - floor(len(a) * {p} + {0.4 + 0.2 * p})) * a[floor(len(a) * {p} + {0.4 + 0.2 * p})::int + 1], 6) + 0.0 as q{int(p * 100)}" for p in (0.25, 0.5, 0.75))} from v""")(
     lambda s, d: _totals(s, d).groupBy("cls").agg(F.array_sort(F.collect_list("y")).alias("a")).select("cls", *[_r(S.mquantile("a", p), f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)])
@@ -196,6 +211,48 @@ query("category_translate", "select coalesce(case when lang = 'en' then 'English
 query("one_hot", "select doc_id, (lang = 'de')::int as lang_de, (lang = 'en')::int as lang_en, (lang = 'es')::int as lang_es, (lang = 'fr')::int as lang_fr from documents")(
     lambda s, d: tables.one_hot(src.read(s, d, "documents").select("doc_id", "lang"), "lang", "lang_").drop("lang")
 )
+#: Categories made up from the type of an event, for the built-in table.
+_KINDS = ["Music", "News&amp;Politics", "Autos", "Pets&amp;Animals", "Howto&amp;Style"]
+_KIND = "list_value('Music', 'News&amp;Politics', 'Autos', 'Pets&amp;Animals', 'Howto&amp;Style')[(event_id % 6 + 1)::int]"
+_SHORT = "case when k = 'Music' then 'Music' when k = 'News&amp;Politics' then 'News' when k = 'Autos' then 'Vehi.' when k = 'Pets&amp;Animals' then 'Pets' when k = 'Howto&amp;Style' then 'Howto' when k is null then '-' end"
+
+
+def _kinds(s, d):
+    return src.read(s, d, "events").select("event_id", F.get(F.array(*[F.lit(k) for k in _KINDS]), F.expr("cast(event_id % 6 as int)")).alias("k"))
+
+
+query("category_builtin", f"select c, count(*) as n from (select {_SHORT} as c from (select {_KIND} as k from events)) group by 1")(
+    lambda s, d: tables.translate(_kinds(s, d), "k").groupBy(F.col("k").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+)
+
+
+@query("category_ids", f"select event_id, list_position(['-', 'Com.', 'Edu.', 'Ent.', 'Film', 'Game', 'Howto', 'Music', 'News', 'Nonprof.', 'People', 'Pets', 'Sci.', 'Show', 'Sport', 'Travel', 'Vehi.'], {_SHORT})::int - 1 as id from (select event_id, {_KIND} as k from events)")
+def category_ids(s, d):
+    """The place of the 1 among the columns of the sorted abbreviations."""
+    t, names = tables.category_columns(_kinds(s, d), "k")
+    return t.select("event_id", (F.array_position(F.array(*[F.col(f"`{n}`") for n in names]), 1) - 1).cast("int").alias("id"))
+
+
+_REF = {"l_discount": "SEARCH", "l_tax": "VIRAL"}
+query("referrer_names", "select l_returnflag, label, round(sum(v) filter (v > 0) / any_value(t), 6) as share from (select l_returnflag, unnest(['SEAR.', 'VIR.']) as label, unnest([l_discount, l_tax]) as v, sum(l_quantity) over (partition by l_returnflag) as t from lineitem) group by 1, 2")(
+    lambda s, d: tables.unpivot_share(src.read(s, d, "lineitem"), "l_returnflag", list(_REF), "l_quantity", {c: tables.REFERRERS[r] for c, r in _REF.items()}).select("l_returnflag", "label", _r("share"))
+)
+
+
+def _assembled(s, d):
+    own = src.user_hour(s, d).select("series_id", F.expr(S.total("x")).alias("total"), F.expr(S.argmax("x")).alias("peak"))
+    return tables.assemble([(src.points(src.user_day(s, d), 5), "points"), (own, "features")], keep={"features": ["peak"]})
+
+
+query("feature_assembly", f"with {Q.USER_DAY}, {Q.USER_HOUR} select d.series_id, {', '.join(f'd.x[{i + 1}] as \"POINT_{i}\"' for i in range(5))}, (list_position(h.x, list_max(h.x)) - 1)::int as peak from user_day d join user_hour h using (series_id)")(
+    lambda s, d: _assembled(s, d)[0]
+)
+query("feature_places", "select * from (values ('POINT_0', 0), ('POINT_1', 1), ('POINT_2', 2), ('POINT_3', 3), ('POINT_4', 4), ('peak', 5)) t(name, place)")(
+    lambda s, d: s.createDataFrame(list(_assembled(s, d)[1].items()), "name string, place int")
+)
+query("trend_table", f"with {Q.USER_DAY} select series_id, x[1] as \"POINT_0\", x[2] as \"POINT_1\", (series_id % 3)::int as \"TREND\", list_sum(x) as \"FINAL_VIEWS\" from user_day")(
+    lambda s, d: tables.trend_table(u := src.user_day(s, d), u.select("series_id", F.expr("cast(series_id % 3 as int)").alias("cluster")), src.points(u, 2))
+)
 query("dense_relabel", "select c_custkey, (dense_rank() over (order by c_mktsegment) - 1)::int as index from customer")(lambda s, d: tables.dense_labels(src.read(s, d, "customer"), "c_mktsegment").select("c_custkey", "index"))
 query("feature_table", f"with {Q.USER_DAY}, {Q.USER_HOUR} select d.series_id, d.x[1] as \"POINT_0\", d.x[2] as \"POINT_1\", d.x[3] as \"POINT_2\", list_sum(h.x) as total, (list_position(h.x, list_max(h.x)) - 1)::int as peak from user_day d join user_hour h using (series_id)")(
     lambda s, d: src.points(src.user_day(s, d), 3).join(src.user_hour(s, d).select("series_id", F.expr(S.total("x")).alias("total"), F.expr(S.argmax("x")).alias("peak")), "series_id")
@@ -205,7 +262,7 @@ query("features_at_decision", f"{_T}, b as (select series_id, case when series_i
         src.user_day(s, d).select("series_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("num_pts"), "x").select("series_id", "num_pts", F.expr(S.total("slice(x, 1, num_pts)")).alias("views")), ["series_id", "num_pts"]
     )
 )
-query("sample_rows")(lambda s, d: tables.sample(_totals(s, d), 10, by="cls"))
+query("sample_rows", f"{_T} select series_id, cls, f, g, y, p from t qualify row_number() over (partition by cls order by md5(series_id::varchar || ':0'), series_id) <= 10")(lambda s, d: tables.sample(_totals(s, d), 10, by="cls"))
 
 # ---- text -----------------------------------------------------------------------------------
 
@@ -228,12 +285,32 @@ query("tfidf", f"{_TOK}, tf as (select doc_id, token, count(*) as tf from tok gr
     lambda s, d: text.tfidf(_tokens(s, d), "doc_id").select("doc_id", "token", "tf", _r("weight"))
 )
 query("asym_jaccard", r"with t as (select distinct lang as c, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) as token from documents), n as (select c, count(*) as n from t group by 1), b as (select x.c as a, y.c as b, count(*) as m from t x join t y using (token) group by 1, 2) select x.c as a, y.c as b, round(coalesce(m, 0) / x.n, 6) as share from n x cross join n y left join b on b.a = x.c and b.b = y.c")(
-    lambda s, d: text.asymmetric_jaccard(text.tokens(src.read(s, d, "documents").select("lang", "text"), "text"), "lang").select("a", "b", _r("share"))
+    lambda s, d: text.asymmetric_jaccard(text.tokens(src.read(s, d, "documents").select("lang", "text"), "text", distinct=True), "lang").select("a", "b", _r("share"))
 )
 _IG = f"{_TOK}, pr as (select cls, count(*) / (select count(*) from rws) as prior from rws group by 1), k as (select token, cls, count(*) as k from tok group by all), p as (select token, cls, k, k / sum(k) over (partition by token) as p from k), g as (select token, sum(k)::bigint as n, sum(p * ln(p / prior)) as gain from p join pr using (cls) group by 1)"
 query("info_gain", f"{_IG} select token, n, round(n / (select sum(n) from g), 9) as p_token, round(gain, 6) + 0.0 as gain from g")(
     lambda s, d: text.info_gain(_tokens(s, d), _classed(s, d), "cls").select("token", "n", _r("p_token", digits=9), _r("gain"))
 )
+query("tf_only", f"{_TOK}, tf as (select doc_id, token, count(*) as tf from tok group by all) select doc_id, token, tf, round(tf / sqrt(sum(tf * tf) over (partition by doc_id)), 6) as weight from tf")(
+    lambda s, d: text.tfidf(_tokens(s, d), "doc_id", idf=False).select("doc_id", "token", "tf", _r("weight"))
+)
+query("info_gain_top", f"{_IG}, r as (select token, n, gain, row_number() over (order by round(gain, 9) desc, token desc) as rank from g) select token, n, round(gain, 6) + 0.0 as gain, rank::int as rank from r where rank <= 100")(
+    lambda s, d: text.top_gains(text.info_gain(_tokens(s, d), _classed(s, d), "cls")).select("token", "n", _r("gain"), "rank")
+)
+
+
+def _users(s, d):
+    return src.read(s, d, "documents").select("doc_id", "lang", "source").join(src.read(s, d, "labels").select("doc_id", F.col("quality").alias("cls")), "doc_id")
+
+
+_CG = "select '{0}' as kind, token, sum(k)::bigint as n, round(sum(k) / sum(sum(k)) over (), 9) as p_token, round(sum(p * ln(p / prior)), 6) + 0.0 as gain from (select *, k / sum(k) over (partition by token) as p from (select {0} as token, cls, count(*) as k from rws where {0} is not null group by 1, 2)) join pr using (cls) group by token"
+query("info_gain_columns", f"with rws as (select lang, source, quality as cls from documents join labels using (doc_id)), pr as (select cls, count(*) / (select count(*) from rws) as prior from rws group by 1) {_CG.format('source')} union all {_CG.format('lang')}")(
+    lambda s, d: text.column_gain(_users(s, d), ["source", "lang"], "cls").select("kind", "token", "n", _r("p_token", digits=9), _r("gain"))
+)
+query("info_gain_weights", "with r as (select l_returnflag as cls, unnest(['SEAR.', 'VIR.']) as token, unnest([l_discount, l_tax]) as w from lineitem), pr as (select l_returnflag as cls, count(*) / (select count(*) from lineitem) as prior from lineitem group by 1), k as (select token, cls, sum(w) as k from r where w > 0 group by all), p as (select *, k / sum(k) over (partition by token) as p from k) select token, round(sum(k), 2) as n, round(sum(k) / sum(sum(k)) over (), 6) as p_token, round(sum(p * ln(p / prior)), 6) + 0.0 as gain from p join pr using (cls) group by token")(
+    lambda s, d: text.weight_gain(src.read(s, d, "lineitem"), list(_REF), "l_returnflag", {c: tables.REFERRERS[r] for c, r in _REF.items()}).select("token", F.round("n", 2).alias("n"), _r("p_token"), _r("gain"))
+)
+query("chisq_test")(lambda s, d: text.chi_square(_orders(s, d), "o_orderstatus", "o_orderpriority").withColumn("p", text.chi_square_p("chi2", F.col("dof").cast("double"))))
 query("mutual_info", f"{_IG} select round(sum(n * gain) / sum(n), 6) as mi from g")(lambda s, d: text.mutual_information(text.info_gain(_tokens(s, d), _classed(s, d), "cls")).select(_r("mi")))
 query("chisq_stat", "with n as (select o_orderstatus, o_orderpriority, count(*) as o from orders group by all), c as (select o_orderstatus, sum(o) as nc from n group by 1), l as (select o_orderpriority, sum(o) as nl, sum(sum(o)) over () as al from n group by 1), g as (select c.o_orderstatus, coalesce(o, 0) as o, nc * nl / al as e from c cross join l left join n on n.o_orderstatus = c.o_orderstatus and n.o_orderpriority = l.o_orderpriority) select o_orderstatus, round(sum(pow(o - e, 2) / e), 6) as chi2, count(*) - 1 as dof from g group by 1")(
     lambda s, d: text.chi_square(_orders(s, d), "o_orderstatus", "o_orderpriority").select("o_orderstatus", _r("chi2"), "dof")
@@ -242,16 +319,18 @@ query("chisq_stat", "with n as (select o_orderstatus, o_orderpriority, count(*)
 # ---- learners and ensembles -----------------------------------------------------------------
 
 
+CLASSES, DIMS = 10, 64
+
+
 def _labelled(s, d):
     """Embeddings: ten labels, 64 features; B: made-up base probabilities that are right for two rows in three."""
-    e = src.read(s, d, "embeddings").select(F.col("vec_id").alias("series_id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.expr("cast(label % 3 as int)").alias("label"))
-    b = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(k == F.expr("if(series_id % 3 = 0, (label + 1) % 3, label)"), 0.8).otherwise(0.1))
+    e = src.read(s, d, "embeddings").select(F.col("vec_id").alias("series_id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("int").alias("label"))
+    b = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.when(k == F.expr(f"if(series_id % 3 = 0, (label + 1) % {CLASSES}, label)"), 0.55).otherwise(0.05))
     return e.withColumn("B", b).withColumn("P", b).withColumn("fold", F.expr("cast(series_id % 3 as int)")).withColumn("label", F.col("label").cast("double"))
 
 
 def _vectors(s, d):
-    d_ = _labelled(s, d).select("*", *[F.get("x", i).alias(f"x{i}") for i in range(16)])
-    return learners.assemble(d_, [f"x{i}" for i in range(16)])
+    return _labelled(s, d).withColumn("features", array_to_vector("x"))
 
 
 query("samme_alpha", f"{_P}, e as (select avg((y <> p)::int) as e from q) select round(e, 6) as error, round(ln((1 - e) / e) + ln(2), 6) as alpha from e")(
@@ -265,7 +344,7 @@ def samme_weights(s, d):
     return ensemble.reweigh(q, ensemble.alpha(ensemble.error(q).first()[0], 3)).select("series_id", _r("w", digits=9))
 
 
-query("weighted_sample")(lambda s, d: ensemble.sample_weights(_totals(s, d).select("series_id", F.col("y").alias("w")), "w", 100.0))
+query("weighted_sample")(lambda s, d: ensemble.sample_weights(_totals(s, d).select("series_id", F.col("y").alias("w")), "w", 100))
 query("knn_classify", "with e as (select vec_id as id, embedding::double[] as x, label from embeddings), q as (select * from e where id % 20 = 0), p as (select q.id as qid, e.id as nid, e.label, round(list_sum(list_transform(list_zip(e.x, q.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) as d from q, e where q.id <> e.id qualify row_number() over (partition by q.id order by d, e.id) <= 5), v as (select qid, label, count(*) as v from p group by all) select qid as id, label from v qualify row_number() over (partition by qid order by v desc, label) = 1")(
     lambda s, d: learners.knn(e := src.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label"), e.where("id % 20 = 0"), 5)
 )
@@ -273,30 +352,74 @@ query("knn_classify", "with e as (select vec_id as id, embedding::double[] as x,
 
 @query("grid_search_lr")
 def grid_search_lr(s, d):
-    model, _ = learners.grid_search(_vectors(s, d), "lr", values=[1e-2, 1.0])
+    model, _ = learners.grid_search(_vectors(s, d), "lr")
     return model.transform(_vectors(s, d)).select("series_id", F.col("prediction").cast("int").alias("p"), "label")
 
 
 query("cross_val_trees")(lambda s, d: learners.cross_val(_vectors(s, d).select("series_id", "features", "label", "fold"), "extra_trees").select("series_id", "fold", "prediction"))
-query("tree_importances")(lambda s, d: learners.importances(_vectors(s, d).drop("features"), [f"x{i}" for i in range(16)]))
+query("tree_importances")(lambda s, d: learners.importances(_labelled(s, d).select("series_id", "label", *[F.get("x", i).alias(f"x{i}") for i in range(DIMS)]), [f"x{i}" for i in range(DIMS)]))
 
 
 def _waves(s, d):
-    return learners.fourier_features(_labelled(s, d).withColumn("x", F.slice("x", 1, 16)), "x", 16, gamma=0.5)
+    return learners.fourier_features(_labelled(s, d), "x", DIMS, gamma=0.5)
 
 
 query("rbf_svm")(lambda s, d: learners.learner("linear_svm").fit(w := _waves(s, d)).transform(w).select("series_id", "label", F.col("prediction").cast("int").alias("p")))
 query("rbf_svr")(lambda s, d: learners.learner("huber_regression").fit(w := _waves(s, d)).transform(w).select("series_id", "label", "prediction"))
-query("class_boost")(lambda s, d: ensemble.ClassBoost().fit(v := _vectors(s, d), 3).predict(v).select("series_id", "label", "p"))
-query("cotrain")(lambda s, d: ensemble.CoTrain(rounds=2).fit(v := _vectors(s, d), 3).predict(v).select("series_id", "label", "p"))
+query("class_boost")(lambda s, d: ensemble.ClassBoost().fit(v := _vectors(s, d), CLASSES).predict(v).select("series_id", "label", "p"))
+query("cotrain")(lambda s, d: ensemble.CoTrain(per_round=20).fit(v := _vectors(s, d), CLASSES).predict(v).select("series_id", "label", "p"))
 for _kind in ("linear", "tree", "deco"):
-    query(f"stacking_{_kind}")(lambda s, d, k=_kind: ensemble.Stacking(["lr"], k).fit(v := _vectors(s, d).drop("x"), 3, B="B").predict(v).select("series_id", "label", "p"))
+    query(f"stacking_{_kind}")(lambda s, d, k=_kind: ensemble.Stacking(["lr"], k).fit(v := _vectors(s, d).drop("x"), CLASSES, B="B").predict(v).select("series_id", "label", "p"))
 
 
 @query("model_comparison")
 def model_comparison(s, d):
-    v = _labelled(s, d).select("series_id", F.col("label").cast("double").alias("label"), *[F.get("x", i).alias(f"x{i}") for i in range(8)], *[F.get("B", i).alias(f"b{i}") for i in range(3)])
-    return ensemble.compare(v.where("series_id % 2 = 0"), v.where("series_id % 2 = 1"), [f"x{i}" for i in range(8)], ["b0", "b1", "b2"], "label", 3)
+    v = _labelled(s, d).select("series_id", F.col("label").cast("double").alias("label"), *[F.get("x", i).alias(f"x{i}") for i in range(DIMS)], *[F.get("B", i).alias(f"b{i}") for i in range(CLASSES)])
+    return ensemble.compare(v.where("series_id % 2 = 0"), v.where("series_id % 2 = 1"), [f"x{i}" for i in range(DIMS)], [f"b{i}" for i in range(CLASSES)], "label", CLASSES)
+
+
+query("learner_comparison")(lambda s, d: learners.compare(_vectors(s, d).select("features", "label", "fold"), ["lr", "linear_svm", "extra_trees", "extra_trees_100"]))
+
+
+@query("grid_search_trees")
+def grid_search_trees(s, d):
+    v = _vectors(s, d).select("series_id", "features", "label")
+    return learners.grid_search(v, "extra_trees")[0].transform(v).select("series_id", F.col("prediction").cast("int").alias("p"), "label")
+
+
+@query("grid_search_rbf")
+def grid_search_rbf(s, d):
+    """The metric of each gamma and C of an RBF machine's grid."""
+    rows = learners.rbf_grid_search(_labelled(s, d), "x", DIMS, gammas=[1e-2, 1.0], penalties=[1e-1, 1e2])[2]
+    return s.createDataFrame(rows, "gamma double, C double, f1 double")
+
+
+def _joint(s, d):
+    x = src.user_day(s, d)
+    f = F.transform(F.slice("x", 1, 10), lambda v: v)
+    return x.select("series_id", array_to_vector(f).alias("features"), F.expr("cast(aggregate(x, 0D, (a, v) -> a + v) > 66 as double)").alias("label"), F.expr(S.total("x")).alias("y"))
+
+
+@query("joint_experiment")
+def joint_experiment(s, d):
+    """Class and total of a user from the first ten days: both learners by grid search on stratified folds."""
+    return learners.experiment_summary(learners.experiment(evaluation.stratified(_joint(s, d), 5, "label").persist(), "label", "y"))
+
+
+@query("holdout_experiment")
+def holdout_experiment(s, d):
+    """The same, tested on the last 500 orders by date: status and price from date, customer and priority."""
+    o = src.read(s, d, "orders").withColumn("series_id", F.col("o_orderkey"))
+    f = F.array(F.dayofyear("o_orderdate") / 366.0, F.pmod("o_custkey", F.lit(97)) / 97.0, F.substring("o_orderpriority", 1, 1).cast("double"), F.year("o_orderdate") - 1995.0)
+    x = evaluation.chronological(o, "o_orderdate", 500, "o_orderkey").select(array_to_vector(f).alias("features"), (F.col("o_orderstatus") == "F").cast("double").alias("label"), F.col("o_totalprice").alias("y"), F.when(F.col("train"), 0).otherwise(1).alias("fold"))
+    return learners.experiment(x.persist(), "label", "y", test_folds=[1])
+
+
+@query("sparse_learner")
+def sparse_learner(s, d):
+    """A document's quality from its sparse tf-idf vector, out of fold."""
+    v = text.sparse_features(_tokens(s, d), "doc_id").join(_classed(s, d).select("doc_id", F.col("cls").cast("double").alias("label")), "doc_id").withColumn("fold", F.expr("cast(doc_id % 3 as int)"))
+    return learners.cross_val(v.persist(), "lr").select("doc_id", "fold", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("p"))
 
 
 @query("probability_vectors")

@@ -30,10 +30,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def run(series: DataFrame, k: int = 2, folds: int = 5, gamma_max: int = 20, target: float = 0.5, gamma: float = 1.0, seed: int = 0, max_iter: int = 20) -> Outcome:
+def run(series: DataFrame, k: int = 2, folds: int = 5, gamma_max: int = 20, target: float = 0.5, gamma: float = 1.0, seed: int = 0, max_iter: int | None = None) -> Outcome:
     """``series``: (series_id, x). Clusters of each fold's training rows are the classes; test rows' true class is the nearest centroid."""
     spark = series.sparkSession
-    s = evaluation.kfold(series.select("series_id", "x"), folds, seed).persist()
+    s = evaluation.kfold(series.select("series_id", "x"), folds, seed)
     labels, decided, members, every = list(range(k)), [], [], []
     for f in range(folds):
         train, test = s.where(F.col("fold") != f).select("series_id", "x"), s.where(F.col("fold") == f).select("series_id", "x")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from shapeflow.operators import trend
+from shapeflow.operators import clustering, evaluation, trend
 from shapeflow.plans import sqltext as Q
 from shapeflow.plans import trend_pipeline
 from shapeflow.sources import series as src
@@ -29,12 +30,12 @@ def _r(c: str, name: str, digits: int = 6):
 
 
 def _refs(spark, d):
-    """A stated reference set: the six users with the least ids, labelled id % 3."""
-    return src.user_day(spark, d).where("series_id < 6").select(F.col("series_id").alias("ref_id"), F.expr("cast(series_id % 3 as int)").alias("label"), "x")
+    """The training series, all but every fifth, labelled id % 3."""
+    return src.user_day(spark, d).where("series_id % 5 <> 0").select(F.col("series_id").alias("ref_id"), F.expr("cast(series_id % 3 as int)").alias("label"), "x")
 
 
 def _own(spark, d):
-    return src.user_day(spark, d).where("series_id >= 6")
+    return src.user_day(spark, d).where("series_id % 5 = 0")
 
 
 def _truth(spark, d):
@@ -42,13 +43,19 @@ def _truth(spark, d):
 
 
 def _curves(spark, d, num_pts):
-    return trend.curves(_own(spark, d), trend.fit(_refs(spark, d)), num_pts)
+    return trend.curves_against(_own(spark, d), _refs(spark, d), num_pts)
+
+
+def _centroid_curves(spark, d, num_pts):
+    """References as the workflow has them: the centroid of each class of training series."""
+    train = src.user_day(spark, d).where("series_id % 5 <> 0").withColumn("cluster", F.expr("cast(series_id % 3 as int)"))
+    return trend.curves(_own(spark, d), (LABELS, np.arange(3), clustering.centroids(train, 3)), num_pts)
 
 
 def _cte(ns: str) -> str:
     return f"""with {Q.USER_DAY},
-refs as (select series_id as ref_id, (series_id % 3)::int as label, x from user_day where series_id < 6),
-pre as (select series_id, n::int as n, list_slice(x, 1, n) as s from user_day, unnest({ns}) t(n) where series_id >= 6),
+refs as (select series_id as ref_id, (series_id % 3)::int as label, x from user_day where series_id % 5 <> 0),
+pre as (select series_id, n::int as n, list_slice(x, 1, n) as s from user_day, unnest({ns}) t(n) where series_id % 5 = 0),
 win as (select ref_id, label, n::int as n, list_slice(x, i, i + n - 1) as w from refs, unnest({ns}) t(n), range(1, 31) o(i) where i <= 30 - n + 1),
 dist as (select series_id, p.n, ref_id, label, least(1.0, min({Q.roll_dist('w', 's', 'len(s)')})) as dist from pre p join win w on p.n = w.n group by all),
 score as (select series_id, n, label, sum(exp(-dist)) as score from dist group by all),
@@ -64,15 +71,31 @@ mean as (select y as k, num_pts, avg(p_true) as theta from j group by all),
 lim as (select t.k::int as k, coalesce(f.min_pts, 0)::int as min_pts, coalesce(m.theta, 1.0 / 3) as theta from unnest([0, 1, 2]) t(k) left join first f on f.k = t.k left join mean m on m.k = f.k and m.num_pts = f.min_pts + 1)"""
 _DECIDE = f"""{_LIMITS},
 ok as (select series_id, num_pts, label, p from top join lim on lim.k = label where round(p, 6) > round(theta, 6) and num_pts >= min_pts qualify row_number() over (partition by series_id order by num_pts) = 1),
-dec as (select s.series_id, ok.label, ok.num_pts as best_by, ok.p from (select series_id from user_day where series_id >= 6) s left join ok using (series_id))"""
+dec as (select s.series_id, ok.label, ok.num_pts as best_by, ok.p from (select series_id from user_day where series_id % 5 = 0) s left join ok using (series_id))"""
 
 query("trend_window_dist", f"{_cte('[5]')} select series_id, ref_id, round(dist, 6) + 0.0 as dist from dist")(
     lambda s, d: trend.distances(_own(s, d), _refs(s, d), N).select("series_id", "ref_id", _r("dist", "dist"))
 )
 query("trend_scores", f"{_cte('[5]')} select series_id, label, round(score, 6) as score from cur")(lambda s, d: _curves(s, d, [N]).select("series_id", "label", _r("score", "score")))
-query("trend_scores_all_refs", f"{_cte('[5]')} select series_id, label, round(score, 6) as score from cur")(
-    lambda s, d: trend.scores_against(_own(s, d), _refs(s, d), N).select("series_id", "label", _r("score", "score"))
+query("trend_scores_all_refs", f"{_cte('range(1, 31)')} select series_id, num_pts, label, round(score, 5) as score from cur")(
+    lambda s, d: trend.scores_against(_own(s, d), _refs(s, d), list(range(1, 31))).select("series_id", "num_pts", "label", _r("score", "score", 5))
 )
+query(
+    "trend_centroid_curves",
+    f"""with recursive {Q.USER_DAY}, tr as (select series_id, x, (series_id % 3)::int as cluster from user_day where series_id % 5 <> 0), {Q.centroid_ctes('tr', 30, 'cen', 200)},
+pre as (select series_id, n::int as n, list_slice(x, 1, n) as s from user_day, unnest(range(1, 31)) t(n) where series_id % 5 = 0),
+win as (select cluster as label, n::int as n, list_slice(c, i, i + n - 1) as w from cen, unnest(range(1, 31)) t(n), range(1, 31) o(i) where i <= 30 - n + 1),
+dist as (select series_id, p.n, label, least(1.0, min({Q.roll_dist('w', 's', 'len(s)')})) as dist from pre p join win w on p.n = w.n group by all)
+select series_id, n as num_pts, label, round(exp(-dist) / sum(exp(-dist)) over (partition by series_id, n), 4) as p from dist""",
+)(lambda s, d: _centroid_curves(s, d, list(range(1, 31))).select("series_id", "num_pts", "label", _r("p", "p", 4)))
+
+
+@query("trend_report_all_refs")
+def trend_report_all_refs(s, d):
+    """Classification reports for each number of points, with all training series as references."""
+    judged = trend.judged(_curves(s, d, list(range(1, 31))), _truth(s, d))
+    return evaluation.report_by(judged.withColumnRenamed("label", "p0"), "num_pts", "y", "p0")
+
 query("trend_proba", f"{_cte('[5]')} select series_id, label, round(p, 6) as p from cur")(lambda s, d: _curves(s, d, [N]).select("series_id", "label", _r("p", "p")))
 query("trend_predict", f"{_cte('[5]')} select series_id, label, label::int as index, round(p, 6) as p from cur qualify row_number() over (partition by series_id order by round(score, 6) desc, label) = 1")(
     lambda s, d: trend.predict(_curves(s, d, [N])).select("series_id", "label", "index", _r("p", "p"))
@@ -123,7 +146,7 @@ select which, n, {', '.join(f"round({_mq('peak' if c.startswith('peak') else 'lf
 
 
 def _whole(s, d):
-    return trend_pipeline.run(src.user_day(s, d), k=2, folds=2, gamma_max=G, max_iter=5)
+    return trend_pipeline.run(src.user_day(s, d), k=2)
 
 
 query("trend_pipeline")(lambda s, d: _whole(s, d).decisions)

@@ -43,14 +43,48 @@ def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(read(spark, sf_dir, "lineitem"), "l_suppkey", month, 83, F.col("l_quantity"))
 
 
-def load_series(spark: SparkSession, path: str, mask: DataFrame | None = None, epsilon: float = 1e-6) -> DataFrame:
-    """White-space text "id v1 ... vT"; ``mask``: (series_id, keep). ``epsilon`` is added to every point."""
+def load_series(spark: SparkSession, path: str, mask: DataFrame | None = None, epsilon: float = 1e-6, zero_rows_only: bool = False) -> DataFrame:
+    """White-space text "id v1 ... vT"; ``mask``: (series_id, keep). ``epsilon`` is added to every point (of all-zero series only, if so asked)."""
+    d = _load_series(spark, path, 0.0 if zero_rows_only else epsilon)
+    if zero_rows_only:
+        d = d.withColumn("x", F.when(F.forall("x", lambda v: v == 0), F.transform("x", lambda v: v + epsilon)).otherwise(F.col("x")))
+    return d if mask is None else d.join(mask.where("keep").select("series_id"), "series_id", "left_semi")
+
+
+def _load_series(spark: SparkSession, path: str, epsilon: float) -> DataFrame:
     parts = F.split(F.trim("value"), "\\s+")
-    d = spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')").select(
+    return spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')").select(
         parts[0].cast("double").cast("long").alias("series_id"),
         F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda v: v.try_cast("double") + epsilon).alias("x"),
     )
-    return d if mask is None else d.join(mask.where("keep").select("series_id"), "series_id", "left_semi")
+
+
+def load_lines(spark: SparkSession, path: str, name: str = "cluster") -> DataFrame:
+    """White-space text of one value a line: (row, value), row is the line's number from 0 in the order of the files."""
+    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda p: (p[1], p[0][0]))  # the order of lines has no column form
+    return spark.createDataFrame(rows, "row long, value string").where("trim(value) <> ''").select("row", F.trim("value").cast("double").cast("int").alias(name))
+
+
+def load_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """White-space text "id user category tag...": (series_id, user, category, tags)."""
+    parts = F.split(F.trim("value"), "\\s+")
+    return spark.read.text(path).where("trim(value) <> ''").select(
+        parts[0].cast("long").alias("series_id"), F.get(parts, 1).alias("user"), F.get(parts, 2).alias("category"), F.slice(parts, 4, 2147483647).alias("tags")
+    )
+
+
+def load_columns(spark: SparkSession, path: str, names: list[str], first: int = 1) -> DataFrame:
+    """White-space text "id v1 v2 ...": the id and ``len(names)`` values from the column ``first`` on, such as referrers' weights at a fixed offset."""
+    parts = F.split(F.trim("value"), "\\s+")
+    return spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')").select(
+        parts[0].cast("double").cast("long").alias("series_id"), *[F.get(parts, first + i).try_cast("double").alias(n) for i, n in enumerate(names)]
+    )
+
+
+def load_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """White-space text of integer pairs "from to", such as clusters and their labels; joined to a table by ``from``."""
+    parts = F.split(F.trim("value"), "\\s+")
+    return spark.read.text(path).where("trim(value) <> ''").select(parts[0].cast("int").alias("from"), parts[1].cast("int").alias("to"))
 
 
 def load_vector(spark: SparkSession, path: str, name: str = "cluster") -> DataFrame:
@@ -78,6 +112,19 @@ def write_matrix(df: DataFrame, path: str, digits: int = 5) -> None:
     df.select(line.alias("value")).write.text(path)
 
 
+def write_rows(df: DataFrame, path: str, digits: int = 5) -> None:
+    """Any table as white-space text, columns in order, numbers with ``digits`` places and arrays spread out: probabilities, assignments, masks."""
+
+    def text(f):
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        number = lambda v: F.format_string(f"%.{digits}f", v.cast("double"))
+        if kind.startswith("array"):
+            return F.array_join(F.transform(c, number), " ")
+        return number(c) if kind in ("double", "float") else c.cast("string")
+
+    df.select(F.concat_ws(" ", *[text(f) for f in df.schema]).alias("value")).write.text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Features with a header."""
     df.write.csv(path, header=True)
