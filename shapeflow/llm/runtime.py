@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _made: list[tuple] = []
 _watched: list = []
+_private: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,10 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="shapeflow-")
-        atexit.register(shutil.rmtree, own, True)
-        found = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _private:
+            _private.append(tempfile.mkdtemp(prefix="shapeflow-"))
+            atexit.register(shutil.rmtree, _private[0], True)
+        found = "file://" + _private[0]
     return found.rstrip("/")
 
 

@@ -793,20 +793,15 @@ def test_held_out_rule(spark):
         assert r["m"] == zlib.crc32(str(r["id"]).encode()) % 7
 
 
-def test_saved_tables_go(spark, tmp_path):
-    """Tables written on the way are deleted on release."""
+def test_saved_tables_go(spark, tmp_path, monkeypatch):
+    """Tables written on the way are deleted on release, which the end of the session calls."""
     from shapeflow.llm import runtime
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: f"file://{tmp_path}")
+    df = runtime.save(spark.range(5), "five")
+    assert df.count() == 5 and len([p for p in tmp_path.iterdir() if p.name.startswith("five")]) == 1
     runtime.release()
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        df = runtime.save(spark.range(5), "five")
-        assert df.count() == 5 and len(list(tmp_path.iterdir())) == 1
-        runtime.release()
-        assert not list(tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    assert not list(tmp_path.iterdir())
 
 
 def test_rules_then_a_filter(spark):
@@ -816,7 +811,7 @@ def test_rules_then_a_filter(spark):
     out = quality_rules.quality_rules(d).where("kept")
     assert out.count() == 30
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Filter") < plan.index("n_repeat_words")
+    assert plan.index("Filter") < plan.index("monotonically_increasing_id")
 
 
 def test_very_long_texts(spark):
@@ -831,3 +826,52 @@ def test_very_long_texts(spark):
     c = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text + "</turn>")], "conv_id long, turn long, role string, text string")
     r = chat_format.digest(chat_format.format_conversations(c)).first()
     assert r["n_turns"] == 2 and r["loss_chars"] == len(text) + 7
+
+
+def test_model_is_a_distribution(spark):
+    """Class factors, word factors and the smoothed tails, each summed over all tokens there are."""
+    rng = random.Random(12)
+    d = spark.createDataFrame([(i, prose(rng, 80)) for i in range(30)], "doc_id long, text string")
+    counts = lm_scoring.count_tokens(d)
+    m = lm_scoring.fit(d, counts)
+    f = np.arange(9, dtype=np.int64).reshape(3, 3)
+    e, total, _ = lm_scoring.softmax(m.logits(f))
+    assert np.allclose((e / total[:, None]).sum(1), 1, atol=1e-5)
+    for y in (0, 5):
+        e, total, _ = lm_scoring.softmax(m.logits(f, np.full(3, y)))
+        assert np.allclose((e / total[:, None]).sum(1), 1, atol=1e-5)
+    own = set(m.known[m.known_id >= 0].view(np.int64).tolist())
+    tail = collections.Counter()
+    for r in counts.collect():
+        if r["h"] not in own:
+            tail[r["cls"]] += r["c"] + 0.1
+    for c in range(lm_scoring.CLASSES):  # with the unseen token's 0.1
+        assert tail[c] + 0.1 == pytest.approx(m.tail_total[c] + 0.1 * (m.tail_distinct[c] + 1))
+
+
+def test_score_of_a_text_by_hand(spark):
+    """The classifier's score from the mean of the features' numbers, text by text."""
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 20) if i % 2 else "### $$$ " * 8, i % 2) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    w, bias = quality_classifier.train(d)
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(d, (w, bias), ["doc_id"]).collect()}
+    for i, t, label in rows:
+        f, _ = quality_classifier._features(pa.array([t]))
+        z = sum(float(w[x]) for x in f.tolist()) / len(f) + bias
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5) and (got[i] >= 0.5) == bool(label)
+
+
+def test_tied_turns_and_items(spark):
+    """Turns of one number go by role, then text; equal items and repeated rows each count."""
+    c = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "assistant", "a"), (1, 0, "assistant", "a"), (1, 1, "user", "z"), (None, 0, "user", "n")], "conv_id long, turn long, role string, text string")
+    out = {r["conv_id"]: r["turns"] for r in chat_format.format_conversations(c).collect()}
+    assert [(t["role"], t["text"]) for t in out[1]] == [("assistant", "a"), ("assistant", "a"), ("user", "b"), ("user", "z")] and len(out[None]) == 1
+    rng = random.Random(14)
+    item = prose(rng, 30)
+    b = spark.createDataFrame([(1, item), (2, item), (2, item)], "item_id long, text string")
+    d = spark.createDataFrame([(5, f"x {item}"), (5, f"x {item}"), (6, prose(rng, 40)), (None, item)], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["item_id"], r["start_word"]) for r in decontamination.find_items(d, b).collect()))
+    assert got == [(0, 1, 0), (0, 2, 0), (5, 1, 1), (5, 2, 1)]

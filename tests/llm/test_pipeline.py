@@ -62,6 +62,23 @@ def test_run_and_empty(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_edges(spark, sf, tmp_path):
+    """Null ids, repeated rows, ties, empty and very long texts, columns named like the result's."""
+    at, texts, _ = sf
+    rng = random.Random(9)
+    long = prose(rng, 20_000)
+    rows = [(i, t) for i, t in texts.items() if i < 10] + [(None, texts[11]), (300, ""), (301, None), (302, long), (303, long), (304, texts[12]), (304, texts[12]), (305, texts[12])]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 5, 6) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, size int, copies int")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{at}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = collections.Counter(r["doc_id"] for r in out)
+    assert set(range(10)) <= set(ids) and ids[None] == 1 and ids[304] == 2 and 303 not in ids and 305 not in ids and ids[302] == 1
+    assert len(out[0]) == len(set(out[0].asDict())) and all(r["taken"] == r["copies"] * r["size"] for r in out)
+    assert next(r for r in out if r["doc_id"] == 302)["size"] == 20_000
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, name):
