@@ -1,4 +1,4 @@
-"""Cluster quality from sums of pair distances: series_id, c1, c2, n, d, dd (see clustering.pair_sums)."""
+"""Cluster quality from sums of pair distances: series_id, c1, c2, n, d, dd (see clustering.pair_sums), or from pair distances and clusters."""
 
 from __future__ import annotations
 
@@ -19,8 +19,17 @@ def cost(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.avg(F.col("dist") * F.col("dist")).alias("cost"))
 
 
-def spread(sums: DataFrame) -> DataFrame:
+def sums_of(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The sums from a table of pair distances (id1, id2, dist) and one of clusters (series_id, cluster), where these are there already."""
+    a = clusters.select(F.col("series_id").alias("id1"), F.col("cluster").alias("c1"))
+    b = clusters.select(F.col("series_id").alias("id2"), F.col("cluster").alias("c2"))
+    d = pairs.join(a, "id1").join(b, "id2").groupBy(F.col("id1").alias("series_id"), "c1", "c2")
+    return d.agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("d"), F.sum(F.col("dist") * F.col("dist")).alias("dd"))
+
+
+def spread(sums: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """Means and population deviations of distances within clusters (a series and itself included) and between them, and the ratio of their variations (larger is better)."""
+    sums = sums if clusters is None else sums_of(sums, clusters)
     part = lambda c, own: F.sum(F.when(F.expr("c1 = c2") if own else F.expr("c1 <> c2"), F.col(c)))
     g = sums.agg(*[part(c, own).alias(f"{c}_{kind}") for kind, own in (("intra", True), ("inter", False)) for c in ("n", "d", "dd")])
     for kind in ("intra", "inter"):
@@ -30,8 +39,9 @@ def spread(sums: DataFrame) -> DataFrame:
     return g.withColumn("beta_cv", F.try_divide(F.try_divide("inter_std", "inter_mean"), F.try_divide("intra_std", "intra_mean")))
 
 
-def silhouette(sums: DataFrame) -> DataFrame:
+def silhouette(sums: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """Mean over series of (b - a) / max(a, b): a own cluster's mean distance (itself included), b the least of the other clusters'; null with one cluster."""
+    sums = sums if clusters is None else sums_of(sums, clusters)
     d = sums.withColumn("m", F.col("d") / F.col("n")).groupBy("series_id").agg(F.min(F.when(F.expr("c1 = c2"), F.col("m"))).alias("a"), F.min(F.when(F.expr("c1 <> c2"), F.col("m"))).alias("b"))
     return d.agg(F.avg(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("silhouette"))
 

@@ -69,10 +69,11 @@ def curves(series: DataFrame, model: tuple[list, np.ndarray, np.ndarray], num_pt
 
 
 def scores_against(series: DataFrame, refs: DataFrame, num_pts: int | list[int], gamma: float = 1.0, block: int = 128) -> DataFrame:
-    """(series_id, num_pts, label, score) with all rows of ``refs`` (ref_id, label, x) as references, block against block, for one or several numbers of points."""
+    """(series_id, num_pts, label, score) with all rows of ``refs`` ([ref_id,] label, x) as references, block against block, for one or several numbers of points."""
     points = [num_pts] if isinstance(num_pts, int) else list(num_pts)
     nr, ns = max(1, -(-refs.count() // block)), max(1, -(-series.count() // block))
-    r = refs.withColumn("rb", F.pmod(F.xxhash64("ref_id"), F.lit(nr)).cast("int")).groupBy("rb").agg(F.collect_list(F.struct("label", "x")).alias("refs"))
+    ref_id = F.col("ref_id") if "ref_id" in refs.columns else F.monotonically_increasing_id()
+    r = refs.withColumn("rb", F.pmod(F.xxhash64(ref_id), F.lit(nr)).cast("int")).groupBy("rb").agg(F.collect_list(F.struct("label", "x")).alias("refs"))
     s = series.withColumn("sb", F.pmod(F.xxhash64("series_id"), F.lit(ns)).cast("int")).groupBy("sb").agg(F.collect_list(F.struct("series_id", "x")).alias("own"))
     both = s.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).join(r, "rb").withColumn("n", F.explode(F.array(*[F.lit(n) for n in points])))
     both = both.repartition(min(nr * ns * len(points), 4096), "sb", "rb", "n")
