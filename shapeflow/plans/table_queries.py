@@ -403,7 +403,7 @@ def _joint(s, d):
 @query("joint_experiment")
 def joint_experiment(s, d):
     """Class and total of a user from the first ten days: both learners by grid search on stratified folds."""
-    return learners.experiment_summary(learners.experiment(evaluation.stratified(_joint(s, d), 5, "label").persist(), "label", "y"))
+    return learners.experiment_summary(learners.experiment(evaluation.stratified(_joint(s, d), 5, "label").coalesce(1).persist(), "label", "y"))
 
 
 @query("holdout_experiment")

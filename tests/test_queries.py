@@ -11,7 +11,7 @@ from shapeflow.plans import series_queries, table_queries, trend_queries
 SF = "/root/testdata/sf0.001"
 QUERIES = series_queries.QUERIES | trend_queries.QUERIES | table_queries.QUERIES
 SQL = series_queries.SQL | trend_queries.SQL | table_queries.SQL
-SLOW = {"cluster_multires", "cluster_restarts", "trend_pipeline_report"}
+SLOW = {"cluster_multires", "cluster_restarts", "trend_pipeline", "trend_pipeline_report", "learner_comparison", "grid_search_lr", "grid_search_trees", "grid_search_rbf", "joint_experiment", "holdout_experiment", "model_comparison"}
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
 
