@@ -128,3 +128,12 @@ def test_fourier_features(spark):
     d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, x array<double>")
     f = np.array([r["features"].toArray() for r in learners.fourier_features(d, "x", 2, gamma=0.5, n=600).orderBy("i").collect()])
     assert np.abs(f @ f.T - np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(2))).max() < 0.15
+
+
+def test_rbf_grid_metrics_are_plain_floats(spark, monkeypatch):
+    from shapeflow.operators import learners
+
+    monkeypatch.setattr(learners, "grid_search", lambda d, name, label, folds, values, seed: (None, [np.float64(0.25), np.float64(0.5)]))
+    d = spark.createDataFrame([([0.0, 1.0], 1.0)], "x array<double>, label double")
+    rows = learners.rbf_grid_search(d, "x", 2, gammas=[0.5], penalties=[0.1, 1.0])[2]
+    assert [tuple(r) for r in spark.createDataFrame(rows, "gamma double, C double, f1 double").collect()] == [(0.5, 0.1, 0.25), (0.5, 1.0, 0.5)]
