@@ -875,3 +875,26 @@ def test_tied_turns_and_items(spark):
     d = spark.createDataFrame([(5, f"x {item}"), (5, f"x {item}"), (6, prose(rng, 40)), (None, item)], "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0, r["item_id"], r["start_word"]) for r in decontamination.find_items(d, b).collect()))
     assert got == [(0, 1, 0), (0, 2, 0), (5, 1, 1), (5, 2, 1)]
+
+
+def test_every_link_of_a_passage(spark):
+    """Every two different texts that have a passage meet, whatever the first texts of their signatures are; blocks of families too."""
+    rng = random.Random(21)
+    p = prose(rng, 60)
+    d = spark.createDataFrame([(i, f"{prose(rng, 30)} {p} {prose(rng, 30)}") for i in range(12)], "doc_id long, text string")
+    want = {(i, j) for i in range(12) for j in range(i)}
+    for block in (256, 3):
+        substring_dedup.BLOCK, before = block, substring_dedup.BLOCK
+        try:
+            assert {(r["doc_id"], r["ref_doc_id"]) for r in substring_dedup.near_passages(d).collect()} == want
+        finally:
+            substring_dedup.BLOCK = before
+
+
+def test_all_pairs_of_keys():
+    rng = np.random.default_rng(5)
+    key, doc = rng.integers(0, 40, 300).astype(np.uint64), rng.integers(-60, 60, 300)
+    have = {k: set(doc[key == k].tolist()) for k in key.tolist()}
+    want = {(a, b) for m in have.values() for a in m for b in m if a > b}
+    got = [(int(a), int(b)) for x, y in substring_dedup.all_pairs(key, doc) for a, b in zip(x, y, strict=True)]
+    assert set(got) == want and len(got) == len(want)
