@@ -69,21 +69,29 @@ def curves(series: DataFrame, model: tuple[list, np.ndarray, np.ndarray], num_pt
 
 
 def scores_against(series: DataFrame, refs: DataFrame, num_pts: int | list[int], gamma: float = 1.0, block: int = 128) -> DataFrame:
-    """(series_id, num_pts, label, score) with all rows of ``refs`` ([ref_id,] label, x) as references, block against block, for one or several numbers of points."""
+    """(series_id, num_pts, label, score) with all rows of ``refs`` ([ref_id,] label, x) as references, block against block, for one or several numbers of points.
+
+    Equal prefixes are one query and equal references of a label one reference that counts as often as it occurs.
+    """
     points = [num_pts] if isinstance(num_pts, int) else list(num_pts)
-    nr, ns = max(1, -(-refs.count() // block)), max(1, -(-series.count() // block))
-    ref_id = F.col("ref_id") if "ref_id" in refs.columns else F.monotonically_increasing_id()
-    r = refs.withColumn("rb", F.pmod(F.xxhash64(ref_id), F.lit(nr)).cast("int")).groupBy("rb").agg(F.collect_list(F.struct("label", "x")).alias("refs"))
-    s = series.withColumn("sb", F.pmod(F.xxhash64("series_id"), F.lit(ns)).cast("int")).groupBy("sb").agg(F.collect_list(F.struct("series_id", "x")).alias("own"))
-    both = s.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).join(r, "rb").withColumn("n", F.explode(F.array(*[F.lit(n) for n in points])))
-    both = both.repartition(min(nr * ns * len(points), 4096), "sb", "rb", "n")
+    r = refs.groupBy("label", "x").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    r = r.withColumn("rid", F.xxhash64("label", "x"))
+    own = series.select("series_id", F.explode(F.array(*[F.struct(F.lit(n).cast("int").alias("num_pts"), F.slice("x", 1, n).alias("x")) for n in points])).alias("p")).select("series_id", "p.*")
+    q = own.groupBy("num_pts", "x").agg(F.min("series_id").alias("series_id"))
+    sizes = {row["num_pts"]: row["n"] for row in q.groupBy("num_pts").agg(F.count(F.lit(1)).alias("n")).collect()}
+    nr = max(1, -(-r.count() // block))
+    ns = F.coalesce(*[F.when(F.col("num_pts") == n, F.lit(max(1, -(-sizes.get(n, 0) // block)))) for n in points])
+    ref = r.withColumn("rb", F.pmod("rid", F.lit(nr)).cast("int")).groupBy("rb").agg(F.collect_list(F.struct("label", "x", "times")).alias("refs"))
+    s = q.withColumn("sb", F.pmod(F.xxhash64("series_id"), ns).cast("int")).groupBy(F.col("num_pts").alias("n"), "sb").agg(F.collect_list(F.struct("series_id", "x")).alias("own"))
+    both = s.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).join(ref, "rb")
+    both = both.repartition(min(max(1, nr * sum(max(1, -(-n // block)) for n in sizes.values())), 4096), "sb", "rb", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 own, ref, n = batch.column("own")[i].values, batch.column("refs")[i].values, batch.column("n")[i].as_py()
-                labels = ref.field("label").to_numpy()
-                e = np.exp(-gamma * to_references(_matrix(own.field("x"))[:, :n], _matrix(ref.field("x"))))
+                labels, times = ref.field("label").to_numpy(), ref.field("times").to_numpy()
+                e = np.exp(-gamma * to_references(_matrix(own.field("x")) if n else np.zeros((len(own), 0)), _matrix(ref.field("x")))) * times
                 kinds = np.unique(labels)
                 part = np.stack([e[:, labels == k].sum(1) for k in kinds], 1)
                 ids = own.field("series_id").to_numpy()
@@ -91,7 +99,9 @@ def scores_against(series: DataFrame, refs: DataFrame, num_pts: int | list[int],
                 yield pa.record_batch([pa.array(c) for c in cols], ["series_id", "num_pts", "label", "score"])
 
     parts = both.select("own", "refs", "n").mapInArrow(run, "series_id long, num_pts int, label int, score double")
-    return parts.groupBy("series_id", "num_pts", "label").agg(F.sum("score").alias("score"))
+    scores = parts.groupBy("series_id", "num_pts", "label").agg(F.sum("score").alias("score")).withColumnRenamed("series_id", "rep")
+    of = own.join(q.withColumnRenamed("series_id", "rep"), ["num_pts", "x"]).select("series_id", "num_pts", "rep")
+    return of.join(scores, ["rep", "num_pts"]).select("series_id", "num_pts", "label", "score")
 
 
 def curves_against(series: DataFrame, refs: DataFrame, num_pts: list[int], gamma: float = 1.0, block: int = 128) -> DataFrame:

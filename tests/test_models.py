@@ -137,3 +137,32 @@ def test_rbf_grid_metrics_are_plain_floats(spark, monkeypatch):
     d = spark.createDataFrame([([0.0, 1.0], 1.0)], "x array<double>, label double")
     rows = learners.rbf_grid_search(d, "x", 2, gammas=[0.5], penalties=[0.1, 1.0])[2]
     assert [tuple(r) for r in spark.createDataFrame(rows, "gamma double, C double, f1 double").collect()] == [(0.5, 0.1, 0.25), (0.5, 1.0, 0.5)]
+
+
+def test_equal_prefixes_and_references_are_scored_once(spark):
+    """Copies of series cost no distances, and the scores count every copy."""
+    from shapeflow.functions import kernels
+
+    rng = np.random.default_rng(8)
+    own, refs = rng.poisson(1.0, (5, 8)).astype(float).tolist(), rng.poisson(1.0, (6, 8)).astype(float).tolist()
+    q = spark.createDataFrame([(i, own[i % 5]) for i in range(20)], "series_id long, x array<double>")
+    r = spark.createDataFrame([(i % 2, refs[i % 6]) for i in range(18)], "label int, x array<double>").coalesce(1)
+    want = {}
+    for i in range(20):
+        for n in (2, 5):
+            e = np.exp(-kernels.to_references(np.array([own[i % 5][:n]]), np.array([refs[j % 6] for j in range(18)])))[0]
+            for k in range(2):
+                want[i, n, k] = float(e[[j for j in range(18) if j % 2 == k]].sum())
+    s = trend.scores_against(q, r, [2, 5])
+    assert {(x["series_id"], x["num_pts"], x["label"]): x["score"] for x in s.collect()} == pytest.approx(want)
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert "times" in plan  # references are counted before they are compared
+
+
+def test_to_references_by_rolling():
+    from shapeflow.functions import kernels
+
+    rng = np.random.default_rng(9)
+    p, r = rng.poisson(0.6, (9, 4)).astype(float), rng.poisson(0.6, (7, 10)).astype(float)
+    want = [[min(1.0, min(kernels.rolling(f[None, i : i + 4], x[None])[0][0, 0] for i in range(7))) for f in r] for x in p]
+    assert np.array_equal(kernels.to_references(p, r), np.array(want))
