@@ -898,3 +898,20 @@ def test_all_pairs_of_keys():
     want = {(a, b) for m in have.values() for a in m for b in m if a > b}
     got = [(int(a), int(b)) for x, y in substring_dedup.all_pairs(key, doc) for a, b in zip(x, y, strict=True)]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_rounds_of_block_pairs(spark, monkeypatch):
+    """Texts that are sent more often than their bytes allow go in rounds, with the same passages; nothing of a round's shuffles is left for the next."""
+    rng = random.Random(22)
+    p = prose(rng, 60)
+    d = spark.createDataFrame([(i, f"{prose(rng, 30)} {p} {prose(rng, 30)}") for i in range(12)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in substring_dedup.near_passages(d).collect())
+    monkeypatch.setattr(substring_dedup, "BLOCK", 3)
+    monkeypatch.setattr(substring_dedup, "ROUND_BYTES", 1500)
+    own = d.withColumn("mark", F.xxhash64("text"))
+    pairs = spark.createDataFrame([(i, j) for i in range(12) for j in range(i)], "doc_id long, ref_doc_id long")
+    rounds = list(substring_dedup._rounds(pairs, own, 1500))
+    assert len(rounds) > 3
+    sizes = [r.agg(F.sum(F.octet_length("packed"))).first()[0] or 0 for r in rounds]
+    assert max(sizes) < sum(sizes) / 2
+    assert sorted(tuple(r) for r in substring_dedup.near_passages(d).collect()) == want and len(want) == 66
