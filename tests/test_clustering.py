@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shapeflow.functions import kernels
 from shapeflow.functions.kernels import rolling
 from shapeflow.operators import clustering, quality
 
@@ -74,3 +75,36 @@ def test_unequal_lengths(spark):
     s = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "series_id long, x array<double>")
     with pytest.raises(ValueError):
         clustering.cluster(s, 1)
+
+
+def test_equal_series_count_as_often_as_they_occur(spark, monkeypatch):
+    """Iterations in the driver, over different series once, and as jobs give the centroids that all rows give; no job an iteration for a small table."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, (30, 6)).astype(float)
+    rows = [(30 * c + i, x[i].tolist()) for i in range(30) for c in range(1 + i % 4)]
+    d = spark.createDataFrame(rows, "series_id long, x array<double>")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("settle"))
+    spark.sparkContext.setJobGroup("settle", "")
+    together = clustering.cluster(d, 3)
+    n = jobs()
+    monkeypatch.setattr(clustering, "TOGETHER", 0)
+    apart = clustering.cluster(d, 3)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert together.iterations == apart.iterations and np.allclose(together.centroids, apart.centroids) and n < 20
+    c = np.array([r[0] % 3 for r in rows])
+    every = np.array([r[1] for r in rows])
+    every = every / np.linalg.norm(every, axis=1, keepdims=True)
+    first = clustering.centroids(d.withColumn("cluster", F.expr("cast(series_id % 3 as int)")), 3)
+    for k in range(3):
+        v = np.linalg.eigh(every[c == k].T @ every[c == k])[1][:, -1]
+        assert np.allclose(first[k], v * np.sign(v.sum()))
+
+
+def test_rolling_by_one_product(monkeypatch):
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 5, (4, 7)).astype(float), rng.integers(0, 5, (50, 7)).astype(float)
+    x[1], y[3], y[4] = 0, 0, 2
+    one = kernels.rolling(x, y)
+    monkeypatch.setattr(kernels, "WHOLE", 0)
+    for a, b in zip(one, kernels.rolling(x, y), strict=True):
+        assert np.allclose(a, b)
