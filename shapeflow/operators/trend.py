@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shapeflow.functions import series as S
 from shapeflow.functions.kernels import to_references
-from shapeflow.operators.clustering import _matrix
+from shapeflow.operators.clustering import _matrix, class_pairs
 
 #: References that :func:`curves` carries along, at most.
 MOST_REFERENCES = 10_000
@@ -33,15 +33,10 @@ def fit(refs: DataFrame, label: str = "label") -> tuple[list, np.ndarray, np.nda
 
 
 def distances(series: DataFrame, refs: DataFrame, num_pts: int) -> DataFrame:
-    """(series_id, ref_id, dist) of prefixes to references (ref_id, x), as built-in expressions."""
-    d = "array_min(transform(sequence(1, size(r) - size(s) + 1), i -> " + S.roll_dist("slice(r, i, size(s))", "s") + ".dist))"
-    own, r = series.select("series_id", F.slice("x", 1, num_pts).alias("s")), refs.select("ref_id", F.col("x").alias("r"))
-    if (n := refs.count()) <= MOST_REFERENCES:
-        both = own.join(F.broadcast(r), F.lit(True))
-    else:  # references in blocks of about that many; every series meets each block
-        blocks = -(-n // MOST_REFERENCES)
-        both = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(r.withColumn("b", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int")), "b")
-    return both.select("series_id", "ref_id", F.expr(f"if(size(s) > size(r), 1D, least(1D, {d}))").alias("dist"))
+    """(series_id, ref_id, dist) of prefixes to references (ref_id, x), as built-in expressions; equal prefixes and equal references meet once."""
+    d = "array_min(transform(sequence(1, size(b) - size(a) + 1), i -> " + S.roll_dist("slice(b, i, size(a))", "a") + ".dist))"
+    own, r = series.select(F.col("series_id").alias("id1"), F.slice("x", 1, num_pts).alias("a")), refs.select(F.col("ref_id").alias("id2"), F.col("x").alias("b"))
+    return class_pairs(own, r, F.expr(f"if(size(a) > size(b), 1D, least(1D, {d}))")).toDF("series_id", "ref_id", "dist")
 
 
 def curves(series: DataFrame, model: tuple[list, np.ndarray, np.ndarray], num_pts: list[int], gamma: float = 1.0) -> DataFrame:

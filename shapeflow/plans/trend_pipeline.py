@@ -33,7 +33,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def run(series: DataFrame, k: int = 2, folds: int = 5, gamma_max: int = 20, target: float = 0.5, gamma: float = 1.0, seed: int = 0, max_iter: int | None = None) -> Outcome:
     """``series``: (series_id, x). Clusters of each fold's training rows are the classes; test rows' true class is the nearest centroid."""
     spark = series.sparkSession
-    s = evaluation.kfold(series.select("series_id", "x"), folds, seed)
+    s = evaluation.kfold(series.select("series_id", "x"), folds, seed).persist()  # for the clusterings and thresholds; the result reads the series again
     labels, decided, members, every = list(range(k)), [], [], []
     for f in range(folds):
         train, test = s.where(F.col("fold") != f).select("series_id", "x"), s.where(F.col("fold") == f).select("series_id", "x")
@@ -44,9 +44,11 @@ def run(series: DataFrame, k: int = 2, folds: int = 5, gamma_max: int = 20, targ
         truth = made.assigned.select("series_id", F.col("cluster").alias("y"))
         curve = trend.curves(train, model, list(range(1, gamma_max + 1)), gamma)
         limits = trend.thresholds(trend.judged(curve, truth), labels, target, gamma_max)
+        limits = spark.createDataFrame(limits.collect(), limits.schema)  # one row a label; else both parts take the curves for it again
         for part, own, own_truth in (("train", train, truth), ("test", test, clustering.assign(test, made.centroids).select("series_id", F.col("cluster").alias("y")))):
             d = trend.decide(trend.curves(own, model, list(range(1, gamma_max + 1)), gamma), limits).join(own_truth, "series_id")
             decided.append(d.select(F.lit(f).alias("fold"), F.lit(part).alias("part"), "series_id", "y", "label", "best_by", "p"))
+    s.unpersist()
     decisions = _union(decided)
     near = []
     for i in range(folds):

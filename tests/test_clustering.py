@@ -108,3 +108,22 @@ def test_rolling_by_one_product(monkeypatch):
     monkeypatch.setattr(kernels, "WHOLE", 0)
     for a, b in zip(one, kernels.rolling(x, y), strict=True):
         assert np.allclose(a, b)
+
+
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_equal_series_meet_once(spark, monkeypatch, most):
+    """A value is taken once for every two different series and given to all their rows, also in blocks."""
+    monkeypatch.setattr(clustering, "MOST_SENT", most)
+    d = spark.createDataFrame([(i, [float(i % 4), 2.0, 0.0]) for i in range(20)], "id long, x array<double>")
+    taken = spark.sparkContext.accumulator(0)
+
+    def value(a, b):
+        taken.add(1)
+        return a[0] * 10 + b[0]
+
+    f = F.udf(value, "double")
+    got = clustering.class_pairs(d.where("id < 12").toDF("id1", "a"), d.toDF("id2", "b"), f("a", "b")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, j, i % 4 * 10.0 + j % 4) for i in range(12) for j in range(20)) and taken.value == 16
+    s = d.withColumnRenamed("id", "series_id")
+    want = sorted((r["id1"], r["id2"], round(r["dist"], 6)) for r in clustering.pair_distances(s).collect())
+    assert sorted((r["id1"], r["id2"], round(r["dist"], 6)) for r in clustering.distances_of_all(s).collect()) == want
