@@ -40,6 +40,7 @@ FEATURE_ROWS = 1 << 14
 #: Tokens whose counts are broadcast. A fixed number; all other counts are joined.
 KNOWN = 1 << 17
 _END = T.mix64(np.array([0xE0D], np.uint64))
+_LOW = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64)
 _OUT, _START = 2 * CLASSES, CLASSES * WIDTH + CLASSES  # classes in all; the id of the place before a text
 
 
@@ -47,8 +48,8 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """hash, suffix class and row of every token, the end tokens included, in order."""
     data, offs = T.text_bytes(batch.column("text"))
     h, row, s, e = T.word_hashes(data, offs)
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64) if len(data) else data.astype(np.uint64)
-    suffix = low[e - 1] | (low[np.maximum(e - 2, s)] << np.uint64(8)) | (low[np.maximum(e - 3, s)] << np.uint64(16)) if len(s) else np.zeros(0, np.uint64)
+    low = lambda at: _LOW[data[at]]
+    suffix = low(e - 1) | (low(np.maximum(e - 2, s)) << np.uint64(8)) | (low(np.maximum(e - 3, s)) << np.uint64(16)) if len(s) else np.zeros(0, np.uint64)
     n = batch.num_rows
     out, cls, rows = np.empty(len(h) + n, np.uint64), np.zeros(len(h) + n, np.int64), np.empty(len(h) + n, np.int64)
     words, ends = np.arange(len(h)) + row, np.searchsorted(row, np.arange(n), "right") + np.arange(n)
@@ -164,15 +165,18 @@ def inner(f: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.float32]:
-    """exp(z - top), its row sums, and top: the largest of a whole batch, whose rows share their biases and so lie close together."""
+    """exp(z - top) in place of z, its row sums, and top: the largest of a whole batch, whose rows share their biases and so lie close together."""
     top = z.max(initial=np.float32(-1e30))
-    e = np.exp(np.maximum(z - top, np.float32(-80)))
-    return e, e @ np.ones(z.shape[1], np.float32), top
+    z -= top
+    np.maximum(z, np.float32(-80), out=z)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], np.float32), top
 
 
 def log_softmax_at(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    own = z[np.arange(len(y)), y]
     _, total, top = softmax(z)
-    return z[np.arange(len(y)), y] - top - np.log(total)
+    return own - top - np.log(total)
 
 
 def count_tokens(train: DataFrame) -> DataFrame:
@@ -212,18 +216,34 @@ def start(counts: DataFrame) -> Model:
     return m
 
 
-def _step(w: np.ndarray, acc: np.ndarray, used: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float, calm: float) -> None:
-    """Adagrad on the rows that a batch used; ``calm`` damps a row's first steps. Gradients are added two columns at a time, as complex numbers."""
+def row_sums(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, how often each occurs, and the sums of its gradients. Most occur once or twice; longer runs are added two columns at a time, as complex numbers."""
     rows = rows.astype(np.uint16)  # places among FEATURE_ROWS, sorted by radix
     order = np.argsort(rows, kind="stable")
     r = rows[order]
     first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    u = r[first]
-    s = np.add.reduceat(np.take(g, order, 0).view(np.complex64), first, 0).view(np.float32)
-    acc[u] += np.einsum("ij,ij->i", s, s) / np.float32(s.shape[1])
-    used[u] += np.diff(np.append(first, len(r)))
-    s *= (np.float32(-rate) / np.sqrt(acc[u] + np.float32(calm)))[:, None]
-    w[u] += s
+    n = np.diff(np.append(first, len(r)))
+    s = np.take(g, order[first], 0)
+    two = np.flatnonzero(n == 2)
+    s[two] += np.take(g, order[first[two] + 1], 0)
+    many = np.flatnonzero(n > 2)
+    if len(many):
+        size = n[many]
+        start = np.cumsum(size) - size
+        at = order[np.repeat(first[many] - start, size) + np.arange(size.sum())]
+        s[many] = np.add.reduceat(np.take(g, at, 0).view(np.complex64), start, 0).view(np.float32)
+    return r[first].astype(np.int64), n, s
+
+
+def _step(w: np.ndarray, acc: np.ndarray, used: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float, calm: float) -> None:
+    """Adagrad on the rows that a batch used; ``calm`` damps a row's first steps."""
+    u, n, s = row_sums(rows, g)
+    a = np.take(acc, u) + np.einsum("ij,ij->i", s, s) / np.float32(s.shape[1])
+    acc[u] = a
+    used[u] += n
+    s *= (np.float32(-rate) / np.sqrt(a + np.float32(calm)))[:, None]
+    s += np.take(w, u, 0)
+    w[u] = s
 
 
 def _descend(shared, turn: int, rounds: int, rate: float, calm: float, batch_size: int = 2048):
@@ -238,13 +258,13 @@ def _descend(shared, turn: int, rounds: int, rate: float, calm: float, batch_siz
                 at = np.arange(len(h)) - T.row_bounds(row, b.num_rows)[row]  # by the place in its text, so that batches need not be alike in all rounds
                 y, word, f = own.events(own.look_up(h)[1], cls, row, np.flatnonzero(at % rounds == turn))
                 for i in range(0, len(y), batch_size):
-                    a = np.arange(i, min(i + batch_size, len(y)))
+                    a = slice(i, min(i + batch_size, len(y)))
                     p, total, _ = softmax(own.logits(f[:, a]))
                     p /= total[:, None]
-                    p[np.arange(len(a)), y[a]] -= 1
+                    p[np.arange(len(p)), y[a]] -= 1
                     for k in range(3):
                         _step(w[0], acc[0], used[0], f[k, a], p, rate, calm)
-                    a = a[word[a] >= 0]
+                    a = i + np.flatnonzero(word[a] >= 0)
                     if len(a):
                         p, total, _ = softmax(own.logits(f[:, a], y[a]))
                         p /= total[:, None]
@@ -264,27 +284,33 @@ def _descend(shared, turn: int, rounds: int, rate: float, calm: float, batch_siz
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by table and row: the mean of a row's versions, weighted by use. Holds one row's sum at a time."""
-    key, total, weight, out = None, None, 0.0, []
+    """Sorted by table and row: the mean of a row's versions, weighted by use. Holds a batch, and the sum of the row that goes on in the next."""
+    key, total, weight = None, None, 0.0
 
-    def emit():
-        return pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["table", "r", "w"])
+    def emit(keys, sums, weights):
+        means = [(x / n).astype(np.float32).tobytes() for x, n in zip(sums, weights, strict=True)]
+        return pa.record_batch([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array(means, pa.binary())], ["table", "r", "w"])
 
     for b in batches:
-        for t, r, n, w in zip(b.column("table").to_pylist(), b.column("r").to_pylist(), b.column("n").to_pylist(), b.column("w"), strict=True):
-            if (t, r) != key:
+        t, r, n = (b.column(c).to_numpy() for c in ("table", "r", "n"))
+        cut = [0, *(np.flatnonzero((t[1:] != t[:-1]) | (r[1:] != r[:-1])) + 1).tolist(), len(t)]
+        data, offs = T.text_bytes(b.column("w"))
+        keys, sums, weights = [], [], []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if i == j:
+                continue
+            s, m = np.frombuffer(data[offs[i] : offs[j]], np.float32).reshape(j - i, -1).astype(np.float64), n[i:j]
+            if (int(t[i]), int(r[i])) != key:
                 if key is not None:
-                    out.append((*key, (total / weight).astype(np.float32).tobytes()))
-                key, total, weight = (t, r), np.zeros(len(w.as_buffer()) // 4), 0.0
-            total += np.frombuffer(w.as_buffer(), np.float32) * n
-            weight += n
-        if len(out) > 2000:
-            yield emit()
-            out.clear()
+                    keys.append(key)
+                    sums.append(total)
+                    weights.append(weight)
+                key, total, weight = (int(t[i]), int(r[i])), np.zeros(s.shape[1]), 0.0
+            total, weight = total + m @ s, weight + m.sum()
+        if keys:
+            yield emit(keys, sums, weights)
     if key is not None:
-        out.append((*key, (total / weight).astype(np.float32).tobytes()))
-    if out:
-        yield emit()
+        yield emit([key], [total], [weight])
 
 
 def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS, rate: float = 0.15, calm: float = 0.5) -> Model:

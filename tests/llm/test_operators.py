@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -915,3 +916,27 @@ def test_rounds_of_block_pairs(spark, monkeypatch):
     sizes = [r.agg(F.sum(F.octet_length("packed"))).first()[0] or 0 for r in rounds]
     assert max(sizes) < sum(sizes) / 2
     assert sorted(tuple(r) for r in substring_dedup.near_passages(d).collect()) == want and len(want) == 66
+
+
+def test_gradient_rows_are_summed_once():
+    rng = np.random.default_rng(4)
+    rows = np.minimum(rng.zipf(1.3, 500), 300)
+    g = rng.normal(size=(500, 6)).astype(np.float32)
+    u, n, s = lm_scoring.row_sums(rows, g)
+    want = np.zeros((301, 6))
+    np.add.at(want, rows, g)
+    assert u.tolist() == np.unique(rows).tolist() and n.tolist() == np.bincount(rows)[u].tolist() and {1, 2} < set(n.tolist())
+    assert np.allclose(s, want[u], atol=1e-4)
+
+
+def test_rows_are_averaged_across_batches():
+    rng = np.random.default_rng(5)
+    table, r, n = np.sort(rng.integers(0, 2, 40)), np.zeros(40, np.int64), rng.integers(1, 9, 40).astype(float)
+    w = [rng.normal(size=4 + 2 * t).astype(np.float32) for t in table.tolist()]
+    whole = pa.record_batch([pa.array(table, pa.int32()), pa.array(r), pa.array(n), pa.array([x.tobytes() for x in w], pa.binary())], ["table", "r", "n", "w"])
+    for size in (1, 7, 40):
+        out = pa.Table.from_batches(list(lm_scoring._average(iter([whole.slice(i, size) for i in range(0, 40, size)]))))
+        assert out.column("table").to_pylist() == [0, 1]
+        for t, x in zip((0, 1), out.column("w").to_pylist(), strict=True):
+            own = table == t
+            assert np.allclose(np.frombuffer(x, np.float32), np.average([v for v, k in zip(w, own, strict=True) if k], 0, n[own]), atol=1e-6)
