@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from shapeflow.functions import stemmer
@@ -166,3 +167,42 @@ def test_to_references_by_rolling():
     p, r = rng.poisson(0.6, (9, 4)).astype(float), rng.poisson(0.6, (7, 10)).astype(float)
     want = [[min(1.0, min(kernels.rolling(f[None, i : i + 4], x[None])[0][0, 0] for i in range(7))) for f in r] for x in p]
     assert np.array_equal(kernels.to_references(p, r), np.array(want))
+
+
+def _noisy(spark, n=400, seed=6):
+    """Rows of three classes that overlap, so that a fit without penalty has one optimum."""
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 3, n)
+    x = rng.normal(size=(n, 2)) + np.array([[0, 0], [1.2, 0], [0, 1.2]])[y]
+    p = np.full((n, 3), 0.2)
+    p[np.arange(n), np.where(rng.random(n) < 0.7, y, (y + 1) % 3)] = 0.6
+    rows = [(int(i), float(y[i]), x[i].tolist(), p[i].tolist()) for i in range(n)]
+    d = spark.createDataFrame(rows, "series_id long, label double, x array<double>, P array<double>").withColumn("features", array_to_vector("x"))
+    return d, x, y
+
+
+def test_softmax_fit_is_the_learners_optimum(spark):
+    d, x, y = _noisy(spark)
+    got = np.array([r[0].toArray() for r in learners.learner("lr").fit(d).transform(d).orderBy("series_id").select("probability").collect()])
+    z = np.exp(np.column_stack([x, np.ones(len(x))]) @ ensemble.softmax_fit(np.column_stack([x, np.ones(len(x))]), y, 3))
+    assert np.abs(z / z.sum(1, keepdims=True) - got).max() < 5e-3
+
+
+def test_cotrain_rounds_are_few_jobs_and_agree_with_those_in_the_tasks(spark, monkeypatch):
+    d, *_ = _noisy(spark)
+    found = []
+    for most in (ensemble.TOGETHER, 0):
+        monkeypatch.setattr(ensemble, "TOGETHER", most)
+        spark.sparkContext.setJobGroup(f"cotrain-{most}", "")
+        model = ensemble.CoTrain(per_round=20).fit(d, 3)
+        found.append(({r[0]: r[1] for r in model.predict(d).select("series_id", "p").collect()}, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"cotrain-{most}"))))
+    (a, few), (b, many) = found
+    assert sum(a[i] == b[i] for i in b) > 0.97 * len(b) and len(a) == 400
+    assert few < 60 < many
+
+
+def test_surest_rows_are_those_of_an_ordered_limit(spark):
+    d, *_ = _noisy(spark, 90)
+    p = d.withColumn("series_id", F.concat(F.lit("s"), F.col("series_id").cast("string"))).repartition(5)
+    want = [(r[0], k) for k in range(4) for r in p.orderBy(F.get("P", k).desc(), "series_id").limit(7).collect()]
+    assert [(i, k) for i, k in ensemble._surest(p.select("series_id", "P"), 4, ("P",), "series_id", 7)] == [(r, k) for r, k in want]
