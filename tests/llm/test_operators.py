@@ -940,3 +940,14 @@ def test_rows_are_averaged_across_batches():
         for t, x in zip((0, 1), out.column("w").to_pylist(), strict=True):
             own = table == t
             assert np.allclose(np.frombuffer(x, np.float32), np.average([v for v, k in zip(w, own, strict=True) if k], 0, n[own]), atol=1e-6)
+
+
+def test_repeated_words_are_few_passages():
+    """A run in which each window stands many times in the earlier text is one passage, not one for every place."""
+    for a, b in ((2000, 900), (300, 5000), (500, 500 + 1)):
+        found = substring_dedup.passages(np.zeros(a, np.uint64), np.zeros(b, np.uint64), 46, 0.8)
+        assert len(found) <= a // (b - 46) + 2 and {x for i, j, *_ in found for x in range(i, j + 1)} == set(range(a))
+    for period in (1, 2, 7, 60):
+        words = np.arange(period, dtype=np.uint64)
+        a, b = np.resize(words, 700), np.concatenate([np.full(40, 99, np.uint64), np.resize(words, 700), np.full(3, 98, np.uint64)])
+        assert substring_dedup.passages(a, b, 46, 0.8) == [(0, 699, 40, 739, 1.0)]
