@@ -951,3 +951,34 @@ def test_repeated_words_are_few_passages():
         words = np.arange(period, dtype=np.uint64)
         a, b = np.resize(words, 700), np.concatenate([np.full(40, 99, np.uint64), np.resize(words, 700), np.full(3, 98, np.uint64)])
         assert substring_dedup.passages(a, b, 46, 0.8) == [(0, 699, 40, 739, 1.0)]
+
+
+def test_cover_of_large_groups(spark):
+    """Without ``every``, a passage of many documents takes rows in proportion to them, and the words with an earlier copy are those of all pairs."""
+    rng = random.Random(6)
+    p, family, docs = prose(rng, 60), prose(rng, 150).split(), []
+    for n in range(60):
+        docs.append(f"{prose(rng, 40)} {p} {'a few more words that some have ' * (n % 7 == 0)}{prose(rng, 40)}")
+    for _ in range(30):  # near copies with words replaced
+        docs.append(" ".join(w if rng.random() > 0.03 else prose(rng, 1) for w in family))
+    rng.shuffle(docs)
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+
+    def cover(rows):
+        return {(r["doc_id"], w) for r in rows for w in range(r["start_word"], r["start_word"] + r["n_words"])}
+
+    every, some = substring_dedup.near_passages(d).collect(), substring_dedup.near_passages(d, every=False).collect()
+    assert len(every) > 60 * 59 // 2 and len(some) < 6 * len(docs)
+    assert cover(every) == cover(some)
+
+
+def test_covering_pairs():
+    """Copies of a core meet the first one; those that have more in common meet each other; any order of rows gives the same."""
+    core, more, loose = np.arange(60), np.arange(100, 104), iter(range(1000, 10_000, 50))
+    stretches = [np.concatenate([np.arange(x := next(loose), x + 20), core, more if n in (3, 7) else [], np.arange(x + 20, x + 40)]).astype("<u4") for n in range(12)]
+    want = {(n, 0) for n in range(1, 12)} | {(7, 3)}
+    for order in (range(12), range(11, -1, -1)):
+        docs = np.array(order)
+        got = {(int(x), int(y)) for a, b in substring_dedup.covering_pairs(docs, [stretches[n] for n in order], 46, 0.8) for x, y in zip(a, b, strict=True)}
+        assert got == want
+    assert list(substring_dedup.covering_pairs(np.array([5]), [np.zeros(0, "<u4")], 46, 0.8)) == []
