@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from shapeflow.functions import series as S
 from shapeflow.functions.kernels import to_references
-from shapeflow.operators.clustering import _matrix, class_pairs
+from shapeflow.operators.clustering import _classes, _matrix, _meeting, _members, _packed, _round
 
 #: References that :func:`curves` carries along, at most.
 MOST_REFERENCES = 10_000
+#: Prefixes, and numbers in their products with windows, that are taken at once.
+PREFIXES, PRODUCTS = 128, 1 << 18
 
 
 def fit(refs: DataFrame, label: str = "label") -> tuple[list, np.ndarray, np.ndarray]:
@@ -32,11 +34,57 @@ def fit(refs: DataFrame, label: str = "label") -> tuple[list, np.ndarray, np.nda
     return labels, np.array([labels.index(r[0]) for r in rows], int), np.array([r["x"] for r in rows], float)
 
 
-def distances(series: DataFrame, refs: DataFrame, num_pts: int) -> DataFrame:
-    """(series_id, ref_id, dist) of prefixes to references (ref_id, x), as built-in expressions; equal prefixes and equal references meet once."""
-    d = "array_min(transform(sequence(1, size(b) - size(a) + 1), i -> " + S.roll_dist("slice(b, i, size(a))", "a") + ".dist))"
-    own, r = series.select(F.col("series_id").alias("id1"), F.slice("x", 1, num_pts).alias("a")), refs.select(F.col("ref_id").alias("id2"), F.col("x").alias("b"))
-    return class_pairs(own, r, F.expr(f"if(size(a) > size(b), 1D, least(1D, {d}))")).toDF("series_id", "ref_id", "dist")
+def _kinds_of_windows(refs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The different windows of ``n`` points, rotations being the same, and which one each reference has at each place; None unless they are whole numbers and few."""
+    if not 0 < n <= refs.shape[1] or not len(refs) or (refs < 0).any() or (refs != np.rint(refs)).any() or (refs.max() + 1.0) ** n >= 2.0**62:
+        return None
+    wins = np.lib.stride_tricks.sliding_window_view(refs.astype(np.int64), n, 1)
+    base = int(refs.max()) + 1
+    key = least = wins @ base ** np.arange(n - 1, -1, -1, dtype=np.int64)
+    for i in range(n - 1):
+        key = (key - wins[..., i] * base ** (n - 1)) * base + wins[..., i]
+        least = np.minimum(least, key)
+    kinds, at = np.unique(least, return_inverse=True)
+    if len(kinds) * 4 > least.size:
+        return None
+    return (kinds[:, None] // base ** np.arange(n - 1, -1, -1, dtype=np.int64) % base).astype(float), at.reshape(least.shape)
+
+
+def _tiled(prefix: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """:func:`to_references` by tiles that stay in a core's cache; windows of which there are few kinds are compared once a kind."""
+    out, few = np.empty((len(prefix), len(refs))), _kinds_of_windows(refs, prefix.shape[1])
+    if few:
+        rows, wins, at = PRODUCTS // PREFIXES, *few
+        for i in range(0, len(prefix), PREFIXES):
+            d = np.concatenate([to_references(prefix[i : i + PREFIXES], wins[j : j + rows]).T for j in range(0, len(wins), rows)])
+            for j in range(0, len(refs), rows):
+                least = d[at[j : j + rows, 0]]
+                for k in range(1, at.shape[1]):
+                    np.minimum(least, d[at[j : j + rows, k]], out=least)
+                out[i : i + PREFIXES, j : j + rows] = least.T
+        return out
+    rows = max(1, PRODUCTS // (PREFIXES * max(1, refs.shape[1] - prefix.shape[1] + 1)))
+    for i in range(0, len(prefix), PREFIXES):
+        for j in range(0, len(refs), rows):
+            out[i : i + PREFIXES, j : j + rows] = to_references(prefix[i : i + PREFIXES], refs[j : j + rows])
+    return out
+
+
+def distances(series: DataFrame, refs: DataFrame, num_pts: int, digits: int | None = None, block: int = 1024) -> DataFrame:
+    """(series_id, ref_id, dist) of prefixes to references (ref_id, x), block against block; equal prefixes and equal references meet once."""
+    own = _classes(series.select("series_id", F.slice("x", 1, num_pts).alias("x")))
+    other = _classes(refs.select(F.col("ref_id").alias("series_id"), "x"))
+    n, m = (max(1, -(-d.count() // block)) for d in (own, other))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                s, s2 = batch.column("s")[r].values, batch.column("s2")[r].values
+                p, x = (_matrix(v.field("x")) if num_pts else np.zeros((len(v), 0)) for v in (s, s2))
+                yield from _members(s.field("ids"), s2.field("ids"), _round(_tiled(p, x), digits), ["series_id", "ref_id", "dist"])
+
+    columns = ("series_id", "x", "ids")
+    return _meeting(_packed(own, n, *columns), n, _packed(other, m, *columns), m).mapInArrow(run, "series_id long, ref_id long, dist double")
 
 
 def curves(series: DataFrame, model: tuple[list, np.ndarray, np.ndarray], num_pts: list[int], gamma: float = 1.0) -> DataFrame:
@@ -63,43 +111,42 @@ def curves(series: DataFrame, model: tuple[list, np.ndarray, np.ndarray], num_pt
     return series.select("series_id", "x").mapInArrow(run, "series_id long, num_pts int, label int, score double, p double")
 
 
-def scores_against(series: DataFrame, refs: DataFrame, num_pts: int | list[int], gamma: float = 1.0, block: int = 128) -> DataFrame:
-    """(series_id, num_pts, label, score) with all rows of ``refs`` ([ref_id,] label, x) as references, block against block, for one or several numbers of points.
+def scores_against(series: DataFrame, refs: DataFrame, num_pts: int | list[int], gamma: float = 1.0, block: int = 512) -> DataFrame:
+    """(series_id, num_pts, label, score) with all rows of ``refs`` ([ref_id,] label, x) as references, ``block`` series against 16 times as many references, for one or several numbers of points.
 
-    Equal prefixes are one query and equal references of a label one reference that counts as often as it occurs.
+    Equal series are one and equal references of a label one reference that counts as often as it
+    occurs; equal prefixes of a block's series are taken once. A series travels once for all numbers of
+    points, and once a block of references, of which each task sums the scores.
     """
     points = [num_pts] if isinstance(num_pts, int) else list(num_pts)
     r = refs.groupBy("label", "x").agg(F.count(F.lit(1)).cast("double").alias("times"))
-    r = r.withColumn("rid", F.xxhash64("label", "x"))
-    own = series.select("series_id", F.explode(F.array(*[F.struct(F.lit(n).cast("int").alias("num_pts"), F.slice("x", 1, n).alias("x")) for n in points])).alias("p")).select("series_id", "p.*")
-    q = own.groupBy("num_pts", "x").agg(F.min("series_id").alias("series_id"))
-    sizes = {row["num_pts"]: row["n"] for row in q.groupBy("num_pts").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nr = max(1, -(-r.count() // block))
-    ns = F.coalesce(*[F.when(F.col("num_pts") == n, F.lit(max(1, -(-sizes.get(n, 0) // block)))) for n in points])
-    ref = r.withColumn("rb", F.pmod("rid", F.lit(nr)).cast("int")).groupBy("rb").agg(F.collect_list(F.struct("label", "x", "times")).alias("refs"))
-    s = q.withColumn("sb", F.pmod(F.xxhash64("series_id"), ns).cast("int")).groupBy(F.col("num_pts").alias("n"), "sb").agg(F.collect_list(F.struct("series_id", "x")).alias("own"))
-    both = s.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).join(ref, "rb")
-    both = both.repartition(min(max(1, nr * sum(max(1, -(-n // block)) for n in sizes.values())), 4096), "sb", "rb", "n")
+    r = r.withColumn("series_id", F.xxhash64("label", "x"))
+    own = series.select("series_id", F.slice("x", 1, max(points)).alias("x"))
+    q = own.groupBy("x").agg(F.min("series_id").alias("series_id"))
+    nq, nr = max(1, -(-q.count() // block)), max(1, -(-r.count() // (16 * block)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own, ref, n = batch.column("own")[i].values, batch.column("refs")[i].values, batch.column("n")[i].as_py()
-                labels, times = ref.field("label").to_numpy(), ref.field("times").to_numpy()
-                e = np.exp(-gamma * to_references(_matrix(own.field("x")) if n else np.zeros((len(own), 0)), _matrix(ref.field("x")))) * times
-                kinds = np.unique(labels)
-                part = np.stack([e[:, labels == k].sum(1) for k in kinds], 1)
-                ids = own.field("series_id").to_numpy()
-                cols = [np.repeat(ids, len(kinds)), np.full(part.size, n, np.int32), np.tile(kinds, len(ids)).astype(np.int32), part.ravel()]
-                yield pa.record_batch([pa.array(c) for c in cols], ["series_id", "num_pts", "label", "score"])
-
-    parts = both.select("own", "refs", "n").mapInArrow(run, "series_id long, num_pts int, label int, score double")
+                own, ref = batch.column("s")[i].values, batch.column("s2")[i].values
+                ids, x = own.field("series_id").to_numpy(), _matrix(own.field("x")) if max(points) else np.zeros((len(own), 0))
+                other, (kinds, of) = _matrix(ref.field("x")), np.unique(ref.field("label").to_numpy(), return_inverse=True)
+                times = np.zeros((len(ref), len(kinds)))
+                times[np.arange(len(ref)), of] = ref.field("times").to_numpy()
+                for n in points:
+                    p, back = np.unique(x[:, :n], axis=0, return_inverse=True) if n and x.shape[1] else (x[:1, :n], np.zeros(len(x), int))
+                    part = (np.exp(-gamma * _tiled(p, other)) @ times)[back.ravel()]
+                    cols = [np.repeat(ids, len(kinds)), np.full(part.size, n, np.int32), np.tile(kinds, len(ids)).astype(np.int32), part.ravel()]
+                    yield pa.record_batch([pa.array(c) for c in cols], ["series_id", "num_pts", "label", "score"])
+
+    both = _meeting(_packed(q, nq, "series_id", "x"), nq, _packed(r, nr, "series_id", "label", "x", "times"), nr)
+    parts = both.mapInArrow(run, "series_id long, num_pts int, label int, score double")
     scores = parts.groupBy("series_id", "num_pts", "label").agg(F.sum("score").alias("score")).withColumnRenamed("series_id", "rep")
-    of = own.join(q.withColumnRenamed("series_id", "rep"), ["num_pts", "x"]).select("series_id", "num_pts", "rep")
-    return of.join(scores, ["rep", "num_pts"]).select("series_id", "num_pts", "label", "score")
+    of = own.join(q.withColumnRenamed("series_id", "rep"), "x").select("series_id", "rep")
+    return of.join(scores, "rep").select("series_id", "num_pts", "label", "score")
 
 
-def curves_against(series: DataFrame, refs: DataFrame, num_pts: list[int], gamma: float = 1.0, block: int = 128) -> DataFrame:
+def curves_against(series: DataFrame, refs: DataFrame, num_pts: list[int], gamma: float = 1.0, block: int = 512) -> DataFrame:
     """As :func:`curves`, with any number of references."""
     s = scores_against(series, refs, num_pts, gamma, block)
     return s.withColumn("p", F.col("score") / F.sum("score").over(Window.partitionBy("series_id", "num_pts")))
